@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .bpe import op1_bpe
 from .minhash import op9_minhash
+from .sharding import op8_sharding
+from .vectors import op7_vectors
 
-QUERIES = {"op1_bpe": op1_bpe, "op9_minhash": op9_minhash}
+QUERIES = {"op1_bpe": op1_bpe, "op7_vectors": op7_vectors, "op8_sharding": op8_sharding, "op9_minhash": op9_minhash}
 
 # No SQL engine at hand has the tokenizer, models, hashes or fuzzy search of these operators; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}
