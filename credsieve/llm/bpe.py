@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-BLOCK_BYTES = 2 << 20
+#: Characters of text in a block. A larger block names fewer words twice; a worker holds one at a time.
+BLOCK_BYTES = 12 << 20
 
 # The contraction endings that the public word-level pattern splits off, and that pattern in whole.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -89,6 +90,15 @@ def _pack(*arrays: np.ndarray | bytes) -> bytes:
     return np.int64(len(body)).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Byte planes, which compress better than whole numbers: ranks of frequent words differ in the low byte only."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _unpack(blob: bytes) -> list[bytes]:
     body = pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob[:8], np.int64)[0]), codec="zstd", asbytes=True)
     n = int(np.frombuffer(body[:8], np.int64)[0])
@@ -152,9 +162,8 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
             by_use = np.argsort(-count, kind="stable")
             rank = np.empty(len(place), np.int64)
             rank[by_use] = np.arange(len(place))
-            small = np.uint16 if len(place) <= 1 << 16 else np.uint32
             known = np.array([i is not None for i in ids], dtype=np.uint8)
-            rows = [(k % n_buckets, block, -1, _pack(np.array([i or 0 for i in ids], np.int64), known, lens, rank[coded].astype(small), by_use.astype(np.uint32)))]
+            rows = [(zlib.crc32(b"%d" % block) % n_buckets, block, -1, _pack(np.array([i or 0 for i in ids], np.int64), known, lens, _planes(rank[coded]), _planes(by_use)))]
             for b, ws in enumerate(own):
                 if ws:
                     raw = [w.encode() for w in ws]
@@ -175,7 +184,7 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
                     if new := [w for w in words if w not in known]:
                         known.update((w, np.array(i, tok.wide)) for w, i in zip(new, tok.ids([w.decode() for w in new])))
                     got = [known[w] for w in words]
-                    payload = _pack(np.array(list(map(len, got)), np.uint32), np.concatenate(got).tobytes())
+                    payload = _pack(_planes(np.array(list(map(len, got)), np.uint32)), np.concatenate(got).tobytes())
                 out.append((b, block, part, payload))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), _FLOW)], schema=_FLOW)
 
@@ -187,10 +196,9 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
 
         def done() -> Iterator[pa.RecordBatch]:
             doc_ids, known, lens, codes, by_use = _unpack(held.pop(-1))
-            by_use, lens = np.frombuffer(by_use, np.uint32), np.frombuffer(lens, np.int64)
-            codes = np.frombuffer(codes, np.uint16 if len(by_use) <= 1 << 16 else np.uint32)
+            by_use, codes, lens = _unplaned(by_use), _unplaned(codes), np.frombuffer(lens, np.int64)
             answers = [_unpack(held[p]) for p in sorted(held)]
-            sizes = np.concatenate([np.frombuffer(a[0], np.uint32) for a in answers] or [np.zeros(0, np.uint32)]).astype(np.int64)
+            sizes = np.concatenate([_unplaned(a[0]) for a in answers] or [np.zeros(0, np.uint32)]).astype(np.int64)
             flat = np.concatenate([np.frombuffer(a[1], tok.wide) for a in answers] or [np.zeros(0, tok.wide)])
             starts = np.cumsum(sizes) - sizes
             ends, doc_ids = np.cumsum(lens), pa.array(np.frombuffer(doc_ids, np.int64), mask=np.frombuffer(known, np.uint8) == 0)
