@@ -1 +1 @@
-
+"""Continuous scans and the stateful parts of validation."""
