@@ -29,7 +29,7 @@ def json_report(findings: DataFrame) -> DataFrame:
 def sarif_results(findings: DataFrame, path_col: str = "path") -> DataFrame:
     """A row per result of a SARIF 2.1.0 run: the result as JSON, with what it is sorted by."""
     place = F.struct(F.struct(F.struct(F.replace(F.col(path_col), F.lit("\\"), F.lit("/")).alias("uri")).alias("artifactLocation"), F.struct(F.col("line_no").alias("startLine"), F.lit(1).alias("startColumn")).alias("region")).alias("physicalLocation"))
-    message = F.concat(F.col("description"), F.lit(" — Confidence: "), F.format_string("%.0f", F.col("confidence") * 100), F.lit("%"))
+    message = F.concat(F.col("description"), F.lit(" — Confidence: "), F.bround(F.col("confidence") * 100, 0).cast("int").cast("string"), F.lit("%"))
     result = F.struct(F.col("rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.struct(message.alias("text")).alias("message"), F.array(place).alias("locations"), F.create_map(F.lit("secret-hash/v1"), F.col("secret_hash")).alias("partialFingerprints"))
     return findings.select("rule_id", path_col, "line_no", F.to_json(result).alias("result"))
 

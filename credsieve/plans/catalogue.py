@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import stage_queries
+from . import finding_queries, stage_queries, value_queries
 
-_MODULES = [stage_queries]
+_MODULES = [stage_queries, value_queries, finding_queries]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
