@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,19 +12,25 @@ from pyspark.sql import functions as F
 SEVERITIES = ["info", "low", "medium", "high", "critical"]
 
 
-def any_of(text: Column, needles: list[str]) -> Column:
-    """Whether the text contains any of the needles (plain substrings)."""
+def contains_any(text: Column, needles: list[str]) -> Column:
+    """Whether the text contains any of the needles: one substring search each, which is fastest on long texts."""
     out = F.lit(False)
     for n in needles:
         out = out | text.contains(n)
     return out
 
 
+def any_of(text: Column, needles: list[str]) -> Column:
+    """As contains_any, in one pattern: a small plan, for short strings."""
+    return text.rlike("|".join(map(re.escape, needles)))
+
+
+def starts_with_any(text: Column, starts: list[str]) -> Column:
+    return text.rlike("^(?:" + "|".join(map(re.escape, starts)) + ")")
+
+
 def ends_with_any(text: Column, ends: list[str]) -> Column:
-    out = F.lit(False)
-    for e in ends:
-        out = out | text.endswith(e)
-    return out
+    return text.rlike("(?:" + "|".join(map(re.escape, ends)) + r")\z")
 
 
 def redact(secret: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.entropy import shannon_entropy
-from ..functions.scalar import any_of
+from ..functions.scalar import any_of, contains_any, starts_with_any
 from . import paths
 
 _IDENT = r"[A-Za-z_][A-Za-z0-9_.-]{1,80}"
@@ -44,26 +44,19 @@ SECRET_IDENTIFIERS = ["password", "passwd", "pwd", "secret", "token", "apikey",
 CONTEXTS = ["oauth", "github", "gitlab", "stripe", "slack", "database", "jwt", "bearer", "private key", "x-api-key", "authorization", "cookie", "session", "webhook"]
 
 
-def _starts(x: Column, starts: list[str]) -> Column:
-    out = F.lit(False)
-    for s in starts:
-        out = out | x.startswith(s)
-    return out
-
-
 def normal_identifier(x: Column) -> Column:
     return F.lower(F.regexp_replace(x, "[^A-Za-z0-9]", ""))
 
 
 def line_prefilter(line: Column) -> Column:
     low = F.lower(line)
-    shape = line.contains("=") | line.contains(":") | any_of(low, CALLS)
-    return (F.octet_length(line) <= 512) & shape & (any_of(low, SECRETISH) | any_of(low, HIGH_SIGNAL))
+    shape = line.contains("=") | line.contains(":") | contains_any(low, CALLS)
+    return (F.octet_length(line) <= 512) & shape & (contains_any(low, SECRETISH) | contains_any(low, HIGH_SIGNAL))
 
 
 def plausible(value: Column) -> Column:
     low = F.lower(value)
-    return (F.length(value) >= 6) & ~low.isin(NO_SECRET) & ~_starts(low, NO_SECRET_STARTS)
+    return (F.length(value) >= 6) & ~low.isin(NO_SECRET) & ~starts_with_any(low, NO_SECRET_STARTS)
 
 
 def looks_secret(identifier: Column) -> Column:
@@ -77,7 +70,7 @@ def is_jwt(value: Column) -> Column:
 def value_kind(value: Column, line: Column) -> Column:
     v, low = F.lower(value), F.lower(line)
     return (
-        F.when(_starts(v, KEY_STARTS), "ApiKeyAssignment").when(_starts(v, TOKEN_STARTS), "TokenAssignment").when(_starts(value, CLOUD_STARTS), "ApiKeyAssignment").when(is_jwt(value), "Jwt")
+        F.when(starts_with_any(v, KEY_STARTS), "ApiKeyAssignment").when(starts_with_any(v, TOKEN_STARTS), "TokenAssignment").when(starts_with_any(value, CLOUD_STARTS), "ApiKeyAssignment").when(is_jwt(value), "Jwt")
         .when(value.contains("://") & value.contains("@"), "UrlCredentials").when(low.contains("authorization: bearer") | v.startswith("bearer "), "BearerAuth")
         .when(low.contains("begin private key") | v.contains("begin private key"), "PrivateKey").otherwise("Unknown")
     )
@@ -90,7 +83,7 @@ def match_kind(identifier: Column, value: Column, line: Column) -> Column:
         .when(low.contains("://") & low.contains("@"), "UrlCredentials").when(n.contains("bearer") | low.contains("authorization: bearer"), "BearerAuth")
         .when(any_of(n, ["xapikey", "apikeyheader", "accesskeyid"]), "ApiKeyAssignment").when(n.contains("cookie"), "TokenAssignment").when(n.contains("jwt"), "Jwt")
         .when(any_of(n, ["password", "passwd"]) | n.endswith("pwd"), "PasswordAssignment").when(any_of(n, API_KEYS), "ApiKeyAssignment")
-        .when(any_of(n, TOKENS) | _starts(v, ["ghp_", "ghs_", "xoxb-"]), "TokenAssignment").otherwise(value_kind(value, line))
+        .when(any_of(n, TOKENS) | starts_with_any(v, ["ghp_", "ghs_", "xoxb-"]), "TokenAssignment").otherwise(value_kind(value, line))
     )
 
 

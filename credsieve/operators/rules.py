@@ -99,13 +99,17 @@ def nested_quantifier(pattern: str) -> bool:
 
 
 def compiled(pattern: str):
-    """The pattern under the `regex` module: flags within a pattern are moved to where they hold as scoped ones."""
-    import regex
-
+    """The pattern, with flags inside it moved to where they hold. Under `re`, or under `regex` where `re` lacks something."""
     p = pattern.replace(r"\z", r"\Z")
-    at = [m for m in re.finditer(r"(?<!\\)\(\?([imsx]+)\)", p) if m.start() > 0]
-    for m in reversed(at):
+    for m in reversed([m for m in re.finditer(r"(?<!\\)\(\?([imsx]+)\)", p) if m.start() > 0]):
         p = p[: m.start()] + f"(?{m[1]}:" + p[m.end() :] + ")"
+    if "[:" not in p:
+        try:
+            return re.compile(p)
+        except re.error:
+            pass
+    import regex
+
     return regex.compile(p)
 
 

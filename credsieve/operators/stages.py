@@ -88,18 +88,21 @@ def windows(fragments: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK
     The engine variant widens raw by 96 bytes on either side, and offset and length are those of raw.
     """
     content = F.col(text_col).cast("binary")
-    n = F.octet_length(content)
-    stride = max(chunk // 2, 1) if variant != "chunks" else chunk
-    count = window_count(n, chunk, variant).cast("long")
-    places = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1))
-    src = fragments.select(F.col(id_col).alias(id_col), content.alias("_c"), n.alias("_n"), F.explode(places).alias("_w"))
-    start = F.col("_w") * stride
-    size = F.least(F.lit(chunk).cast("long"), F.col("_n") - start)
+    n = F.octet_length(content).cast("long")
+    stride = chunk if variant == "chunks" else max(chunk // 2, 1)
     widen = WIDEN if variant == "engine" else 0
-    low = F.greatest(start - widen, F.lit(0).cast("long"))
-    high = F.least(start + size + widen, F.col("_n").cast("long"))
-    cut = lambda a, z: F.substring(F.col("_c"), (a + 1).cast("int"), (z - a).cast("int"))
-    return src.select(id_col, low.alias("offset"), (high - low).alias("length"), cut(start, start + size).alias("core"), cut(low, high).alias("raw"))
+
+    def one(i: Column) -> Column:
+        start = i * stride
+        size = F.least(F.lit(chunk).cast("long"), n - start)
+        low, high = F.greatest(start - widen, F.lit(0).cast("long")), F.least(start + size + widen, n)
+        cut = lambda a, z: F.substring(content, (a + 1).cast("int"), (z - a).cast("int"))
+        return F.struct(low.alias("offset"), (high - low).alias("length"), cut(start, start + size).alias("core"), cut(low, high).alias("raw"))
+
+    count = window_count(n, chunk, variant).cast("long")
+    # Built within the generator, so that what follows reads a window and not the fragment again.
+    found = F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("long"), count - 1), one))
+    return fragments.select(F.col(id_col).alias(id_col), F.inline(found))
 
 
 def proximity_engine(context: Column) -> Column:
@@ -205,8 +208,11 @@ def fuse_streams(a: Column, b: Column, c: Column) -> Column:
 
 
 def scan(fragments: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, proximity: float = PROXIMITY) -> DataFrame:
-    """Windows that pass both gates of the engine variant, with their streams."""
-    found = windows(fragments, id_col, text_col).withColumn("context", F.make_valid_utf8(F.col("raw").cast("string")))
+    """Windows that pass both gates of the engine variant, with their streams.
+
+    A window's proximity is at most that of its whole fragment, so fragments below the threshold are passed over at once.
+    """
+    found = windows(fragments.where(proximity_engine(F.col(text_col)) >= proximity), id_col, text_col).withColumn("context", F.make_valid_utf8(F.col("raw").cast("string")))
     found = found.withColumn("proximity", proximity_engine(F.col("context"))).where(F.col("proximity") >= proximity)
     found = found.withColumn("entropy", F.round(shannon_entropy("core"), 9)).where(F.col("entropy") >= threshold)
     found = found.withColumn("pattern", pattern_engine(F.col("context"))).withColumn("structure", structure(F.col("context")))
