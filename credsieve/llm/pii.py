@@ -250,8 +250,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     text = F.col(text_col)
     sorted_out = lambda m: F.struct(_kind(m).alias("kind"), m.alias("was"))
     names = [c for c in docs.columns if c != "pii"]
+    held = "_pii"
+    while any(c.lower() in (held, f"{held}_done") for c in names):
+        held += "_"
     hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    found = docs.select(*names, F.transform(hits, sorted_out).alias("_hits"))
+    found = docs.select(*names, F.transform(hits, sorted_out).alias(held))
 
     def replaced(h: Column) -> Column:
         by = {"email": _mail, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
@@ -260,12 +263,12 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
             out = F.when(h["kind"] == kind, f(key, h["was"])).otherwise(out)
         return F.struct(h["kind"].alias("kind"), h["was"].alias("was"), out.alias("pseudonym"))
 
-    some = F.size("_hits") > 0
-    found = found.withColumn("_done", F.when(some, F.transform("_hits", replaced)))
+    done = f"{held}_done"
+    found = found.withColumn(done, F.when(F.size(held) > 0, F.transform(held, replaced)))
     pieces = F.split(text, PATTERN, -1)
-    whole = F.array_join(F.zip_with(pieces, F.col("_done"), lambda p, h: F.concat(p, F.coalesce(h["pseudonym"], F.lit("")))), "")
-    new = F.when(F.col("_done").isNotNull(), whole).otherwise(text)
-    pii = F.transform(F.filter(F.coalesce("_done", F.array()), lambda h: h["was"] != h["pseudonym"]), lambda h: F.struct(h["kind"].alias("kind"), h["pseudonym"].alias("pseudonym")))
+    whole = F.array_join(F.zip_with(pieces, F.col(done), lambda p, h: F.concat(p, F.coalesce(h["pseudonym"], F.lit("")))), "")
+    new = F.when(F.col(done).isNotNull(), whole).otherwise(text)
+    pii = F.transform(F.filter(F.coalesce(done, F.array()), lambda h: h["was"] != h["pseudonym"]), lambda h: F.struct(h["kind"].alias("kind"), h["pseudonym"].alias("pseudonym")))
     return found.select(*(new.alias(c) if c == text_col else F.col(c) for c in names), pii.alias("pii"))
 
 
