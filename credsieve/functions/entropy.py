@@ -26,6 +26,8 @@ def window_entropies(raw: bytes, starts: np.ndarray, size: int) -> np.ndarray:
     """Entropy of each window of `size` bytes; windows reach no further than the end."""
     data = np.frombuffer(raw, np.uint8)
     out = np.zeros(len(starts))
+    if not len(data):
+        return out
     for a in range(0, len(starts), 4096):
         s = starts[a : a + 4096]
         at = s[:, None] + np.arange(size)

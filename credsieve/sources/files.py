@@ -21,12 +21,47 @@ MOST_BYTES, MOST_RATIO, OBJECT_BYTES = 50 << 20, 100, 10 << 20
 BINARY_ENDS = (".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".zip", ".gz", ".bz2", ".xz", ".whl", ".so", ".dll", ".dylib", ".exe", ".class", ".jar", ".pyc", ".woff", ".woff2", ".ttf", ".mp3", ".mp4")
 
 
+def hidden(spark: SparkSession, path: str, depth: int = 8) -> list[str]:
+    """Files and folders below path whose names begin with a dot, but .git: Spark's listing leaves them out unless they are named."""
+    jvm, found = spark.sparkContext._jvm, []
+    for k in range(depth):
+        glob = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/*" * k + "/.*")
+        for status in glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob) or []:
+            name = status.getPath().toString()
+            if not re.search(r"/\.git(/|$)|\.crc$", name):
+                found.append(name)
+    return found
+
+
 def binary_files(spark: SparkSession, path: str, pattern: str | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(path, length, content) of files up to a size; the size is pushed down to the listing. Works on any store Spark reads (s3a:// as well)."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).where(F.col("length") <= most_bytes).select("path", "length", "content")
+    seen = reader.load(path).select("path", "length", "content")
+    named = [p for p in hidden(spark, path) if pattern is None or fnmatch.fnmatch(p.rsplit("/", 1)[1], pattern)]
+    if named:
+        rows = spark.createDataFrame([(p,) for p in named], "path string").repartition(min(len(named), 64))
+        seen = seen.unionByName(rows.mapInPandas(_read, "path string, length long, content binary"))
+    return seen.where(F.col("length") <= most_bytes)
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Content of named files, and of all files in named folders; Spark's readers pass over names with a dot in front."""
+    from pyarrow import fs
+
+    for pdf in batches:
+        out = []
+        for uri in pdf["path"]:
+            store, name = fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", uri))
+            info = store.get_file_info(name)
+            inner = [info] if info.is_file else store.get_file_info(fs.FileSelector(name, recursive=True))
+            for f in inner:
+                if f.is_file and (f.size or 0) <= MOST_BYTES:
+                    with store.open_input_file(f.path) as src:
+                        raw = src.read()
+                    out.append((uri + f.path[len(name) :], len(raw), raw))
+        yield pd.DataFrame(out, columns=["path", "length", "content"])
 
 
 def is_binary(content, probe: int = 512):

@@ -20,7 +20,7 @@ def incremental_scan(spark: SparkSession, path: str, checkpoint: str, state_path
     """Scans files that are new or whose content has changed. scan gets (path, content_hash, content) of each batch; the state
     is a table of (path, content_hash) that grows by what was scanned, written after the scan, so a failed batch is scanned again.
     """
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").withColumn("content_hash", content_hash(F.col("content")))
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(path).select("path", "content").withColumn("content_hash", content_hash(F.col("content")))
 
     def each(batch: DataFrame, _: int) -> None:
         try:
