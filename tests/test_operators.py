@@ -221,3 +221,28 @@ def test_incremental_scan_and_streams(spark, tmp_path):
     q = jobs.breaker_stream(attempts).writeStream.format("memory").queryName("breaker").option("checkpointLocation", str(tmp_path / "cp2")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("breaker").count() == 4
+
+
+def test_command_line_and_sinks(spark, tmp_path, capsys, monkeypatch):
+    import credsieve.session
+    from credsieve.__main__ import main
+    from credsieve.sources import sinks
+
+    monkeypatch.setattr(credsieve.session, "build_session", lambda *a, **k: spark)
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "app.py").write_text("aws_key = 'AKIA" + "QWERTYUIOPASDFGH'\n")
+    for kind in ("table", "csv", "json", "sarif"):
+        assert main(["detect", str(tmp_path / "src"), "--format", kind]) == 1
+    out = capsys.readouterr().out
+    assert "aws-access-key-id" in out and "QWERTYUIOPASDFGH" not in out
+    assert main(["rules", "list", "--category", "cloud"]) == 0 and "aws-access-key-id" in capsys.readouterr().out
+    (tmp_path / "bad.toml").write_text('[[rules]]\nid = "x"\nregex = "("\n')
+    assert main(["rules", "validate", str(tmp_path / "bad.toml")]) == 2
+    state = spark.createDataFrame([("a", "1")], "path string, content_hash string")
+    for k in (1, 2):
+        sinks.replace_state(spark, state.limit(k), str(tmp_path / "state"))
+    assert spark.read.parquet(str(tmp_path / "state")).collect() == [("a", "1")]
+    rows = spark.createDataFrame([("r", "high", 0.5, "p", 1, "**", "x,y", "d", "h")], "rule_id string, severity string, confidence double, path string, line_no long, secret_redacted string, remediation string, description string, secret_hash string")
+    for kind in ("csv", "json", "sarif", "parquet"):
+        sinks.write_report(rows, str(tmp_path / kind), kind)
+    assert spark.read.text(str(tmp_path / "csv")).first()[0] == 'r,high,0.5000,p,1,0,**,"x,y"'
