@@ -169,6 +169,8 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
                     raw = [w.encode() for w in ws]
                     rows.append((b, block, b, _pack(np.array(list(map(len, raw)), np.uint32), b"".join(raw))))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _FLOW)], schema=_FLOW)
+            del place, codes, order, coded, count, by_use, rank, rows, own
+        shared.give_back()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, known, bucket = splitter(tokenizer_path), {}, None
@@ -187,6 +189,8 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
                     payload = _pack(_planes(np.array(list(map(len, got)), np.uint32)), np.concatenate(got).tobytes())
                 out.append((b, block, part, payload))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), _FLOW)], schema=_FLOW)
+        known = {}
+        shared.give_back()
 
     out_schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
@@ -225,6 +229,8 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
                 held[part] = payload
         if held:
             yield from done()
+        held = {}
+        shared.give_back()
 
     flow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(split, _FLOW_DDL)
     answered = flow.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encode, _FLOW_DDL)

@@ -147,6 +147,7 @@ def _finder(sent, width: int, text_at: int, items_at: int):
                         lists[n] = lists[n] + found_in(seeds, hashes[cuts[n] : cuts[n + 1]], sizes)
                     items = pa.array(lists, kind)
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in range(items_at)), items], names=rows.schema.names)
+        shared.give_back()
 
     return run
 

@@ -86,6 +86,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
                     seen = np.zeros(BUCKETS, bool)
                     seen[rows[:, s:e]] = True
                     total[seen] += 1
+        shared.give_back()
         total[0] = 0
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["bucket", "n"])
@@ -179,6 +180,7 @@ def train(docs: DataFrame, how: Training = Training(), id_col: str = "doc_id", t
             for text, lang, order in zip(*(c.to_pylist() for c in batch.columns)):
                 at, count = _counts(grams([text])[0])
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([order]), pa.array([at.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], names=["lang", "ord", "places", "counts"])
+        shared.give_back()
 
     chosen = rows.where(draw < share).select("text", "lang", F.xxhash64("id", F.lit("order")).alias("ord"))
     got = chosen.mapInArrow(run, "lang string, ord long, places binary, counts binary").collect()
@@ -211,6 +213,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 else:
                     said, score = np.full(z - a, UNKNOWN, dtype=object), np.zeros(z - a)
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-2], pa.array(said.tolist(), pa.string()), pa.array(score)], names=rows.schema.names)
+        shared.give_back()
 
     return typed.mapInArrow(run, typed.schema)
 

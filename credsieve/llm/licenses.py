@@ -155,6 +155,7 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, str]] | None = None,
                 for d in range(n_texts):
                     base[d].sort(key=lambda x: (x["word"], x["label"]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(np.diff(cuts), pa.int64()), pa.array(base, _OUT.field("base").type), pa.array(marks, _OUT.field("notices").type)], schema=_OUT)
+        shared.give_back()
 
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _DDL)
     return found.withColumnRenamed("id", id_col)

@@ -108,6 +108,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                 else:
                     cols = [pa.array([], t.type) for t in list(out)[2:]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(sizes, pa.int64()), *(c.take(place) for c in cols)], schema=out)
+        shared.give_back()
 
     return docs.mapInArrow(run, _PROFILE)
 
@@ -121,6 +122,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
             for a, z in slices(batch, 1):
                 rows = [(*_keys(found), found.tobytes()) for found in _sets(batch, a, z, k) if len(found)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[], [], []], out)], schema=out)
+        shared.give_back()
 
     return docs.mapInArrow(run, _SETS)
 

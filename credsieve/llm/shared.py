@@ -44,3 +44,18 @@ def forget(spark: SparkSession, *paths: str) -> None:
 def buckets(spark: SparkSession, least: int = 8) -> int:
     """Buckets to deal rows into by a hash: as many as the session has shuffle partitions, which users set by the size of the data."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def give_back() -> None:
+    """Returns memory that a Python worker no longer uses; workers live on between stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
