@@ -133,7 +133,8 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     whole text (no special tokens added) and decodes the ids (none skipped).
 
     Null and empty texts give no ids and an empty string. Rows that repeat give as many rows; a null id stays null.
-    id_col must be integral; other columns are ignored. The order of rows is not kept.
+    id_col must be integral; other columns are ignored. The order of rows is not kept. docs should be a scan of a table:
+    blocks are cut in the order of its rows, and a task that is lost and run again must see the same (it is checked).
     """
     spark = docs.sparkSession
     n_buckets = shared.buckets(spark, 16)
@@ -163,11 +164,12 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
             rank = np.empty(len(place), np.int64)
             rank[by_use] = np.arange(len(place))
             known = np.array([i is not None for i in ids], dtype=np.uint8)
-            rows = [(zlib.crc32(b"%d" % block) % n_buckets, block, -1, _pack(np.array([i or 0 for i in ids], np.int64), known, lens, _planes(rank[coded]), _planes(by_use)))]
+            stamp = zlib.crc32("\n".join(w for ws in own for w in ws).encode()).to_bytes(4, "little")
+            rows = [(zlib.crc32(b"%d" % block) % n_buckets, block, -1, _pack(np.array([i or 0 for i in ids], np.int64), known, lens, _planes(rank[coded]), _planes(by_use), stamp))]
             for b, ws in enumerate(own):
                 if ws:
                     raw = [w.encode() for w in ws]
-                    rows.append((b, block, b, _pack(np.array(list(map(len, raw)), np.uint32), b"".join(raw))))
+                    rows.append((b, block, b, _pack(np.array(list(map(len, raw)), np.uint32), b"".join(raw), stamp)))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _FLOW)], schema=_FLOW)
             del place, codes, order, coded, count, by_use, rank, rows, own
         shared.give_back()
@@ -180,13 +182,13 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
                 if part >= 0:
                     if b != bucket:
                         known, bucket = {}, b
-                    sizes, raw = _unpack(payload)
+                    sizes, raw, stamp = _unpack(payload)
                     ends = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
                     words = [raw[a:z] for a, z in zip([0, *ends], ends)]
                     if new := [w for w in words if w not in known]:
                         known.update((w, np.array(i, tok.wide)) for w, i in zip(new, tok.ids([w.decode() for w in new])))
                     got = [known[w] for w in words]
-                    payload = _pack(_planes(np.array(list(map(len, got)), np.uint32)), np.concatenate(got).tobytes())
+                    payload = _pack(_planes(np.array(list(map(len, got)), np.uint32)), np.concatenate(got).tobytes(), stamp)
                 out.append((b, block, part, payload))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), _FLOW)], schema=_FLOW)
         known = {}
@@ -199,9 +201,11 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
         block, held = None, {}
 
         def done() -> Iterator[pa.RecordBatch]:
-            doc_ids, known, lens, codes, by_use = _unpack(held.pop(-1))
+            doc_ids, known, lens, codes, by_use, stamp = _unpack(held.pop(-1))
             by_use, codes, lens = _unplaned(by_use), _unplaned(codes), np.frombuffer(lens, np.int64)
             answers = [_unpack(held[p]) for p in sorted(held)]
+            if any(a[2] != stamp for a in answers):
+                raise RuntimeError("rows came in another order when a lost task ran again; write the input to a table first")
             sizes = np.concatenate([_unplaned(a[0]) for a in answers] or [np.zeros(0, np.uint32)]).astype(np.int64)
             flat = np.concatenate([np.frombuffer(a[1], tok.wide) for a in answers] or [np.zeros(0, tok.wide)])
             starts = np.cumsum(sizes) - sizes
