@@ -1,14 +1,14 @@
 """Shards of near-equal bytes: the minimax contiguous partition of ordered groups of equal texts.
 
 Groups are ordered by a digest of their text. The least capacity with which a greedy pass needs no more than the wanted
-shards is found by binary search. The pass runs over a bounded histogram instead of all groups: 65,536 ranges of digests
+shards is found by binary search; with it, cuts are put where shares are most even. The pass runs over a bounded histogram instead of all groups: 65,536 ranges of digests
 at first; ranges in which a cut may fall are split in 256, again and again, until each holds one group, so the result is
 that of a pass over all groups. Everything else is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +52,20 @@ class Ranges:
                 return out + [at] * (shards - len(out))
         return None
 
+    def even_cuts(self, capacity: int, shards: int) -> list[int]:
+        """Ends of shards within a feasible capacity, each as near as can be to an equal share of what is left."""
+        total, latest = self.upto[-1], [0] * shards + [self.upto[-1]]
+        for k in range(shards - 1, 0, -1):  # the first end from which the rest still fits
+            latest[k] = self.upto[bisect_left(self.upto, latest[k + 1] - capacity)]
+        at, out = 0, []
+        for k in range(1, shards):
+            share = at + (total - at) / (shards - k + 1)
+            j = bisect_left(self.upto, share)
+            near = min(self.upto[max(j - 1, 0) : j + 1], key=lambda b: abs(b - share))
+            at = max(latest[k], min(near, self.upto[bisect_right(self.upto, at + capacity) - 1]))
+            out.append(at)
+        return [*out, total]
+
     def least(self, shards: int, fluid: bool) -> int:
         low = max([-(-self.upto[-1] // shards), *(s for s, w in zip(self.sizes, self.whole) if w or not fluid)], default=0)
         high = max(low, self.upto[-1])
@@ -105,7 +119,7 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
             del rows[k]
         rows |= deeper
     capacity = ranges.least(shards, False)
-    ends = ranges.cuts(capacity, shards, False) or []
+    ends = ranges.even_cuts(capacity, shards)
     firsts = []
     for e in ends[:-1]:
         k = bisect_right(ranges.upto, e) - 1
