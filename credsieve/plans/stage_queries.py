@@ -42,6 +42,7 @@ def _windows(variant: str):
 
 
 ENGINE_WINDOWS = _windows_sql(64, 32, "case when n > 64 then (n - 64) // 32 + 1 else 1 end", ">=")
+CHUNK_WINDOWS = _windows_sql(64, 64, "ceil(n / 64)", ">=").replace("hex(encode(text)) as h", "rpad(hex(encode(text)), (ceil(strlen(text) / 64) * 128)::int, '0') as h")
 STAGE_WINDOWS = _windows_sql(64, 32, "case when n < 8 then 0 when n <= 64 then 1 else ceil((n - 64) / 32) + 1 end", ">")
 
 
@@ -298,6 +299,6 @@ QUERIES = {
     "rule_matches": rule_matches, "regex_theta_join": regex_theta_join, "typed_assignments": typed_assignments, "routed_candidates": routed_candidates, "block_candidates": block_candidates, "findings": findings, "decoded_findings": decoded_findings,
 }
 ORACLE_SQL = {
-    "byte_entropy_docs": BYTE_ENTROPY, "entropy_windows_engine": ENGINE_WINDOWS, "entropy_windows_stage": STAGE_WINDOWS, "proximity_engine": PROXIMITY_ENGINE, "proximity_stage": PROXIMITY_STAGE, "tristream_identifiers": IDENTIFIERS, "tristream_literals": LITERALS,
+    "byte_entropy_docs": BYTE_ENTROPY, "entropy_windows_engine": ENGINE_WINDOWS, "entropy_windows_stage": STAGE_WINDOWS, "entropy_windows_chunks": CHUNK_WINDOWS, "proximity_engine": PROXIMITY_ENGINE, "proximity_stage": PROXIMITY_STAGE, "tristream_identifiers": IDENTIFIERS, "tristream_literals": LITERALS,
     "tristream_structure": STRUCTURE, "stage_streams": STREAMS, "token_hits": TOKEN_HITS, "keyword_prefilter": KEYWORDS, "rule_matches": RULE_MATCHES, "regex_theta_join": THETA, "typed_assignments": TYPED, "routed_candidates": ROUTED, "decoded_findings": DECODED,
 }
