@@ -14,13 +14,18 @@ def trigram_score(t: Column) -> Column:
     return F.when(same | t.rlike("^[a-z]{3}$"), COMMON).when(t.rlike("^([A-Z]{3}|[0-9]{3})$"), MIXED).when(t.rlike("[0-9_-]"), RARE).otherwise(MIXED)
 
 
+def trigrams(kept: Column) -> Column:
+    """All runs of three characters, in time linear in the length: those that begin at every third place, three times over."""
+    every_third = lambda x: F.regexp_extract_all(x, F.lit("(?s).{3}"), F.lit(0))
+    return F.concat(every_third(kept), every_third(F.substring(kept, 2, 2**31 - 1)), every_third(F.substring(kept, 3, 2**31 - 1)))
+
+
 def markov_score(text: Column) -> Column:
     """0 (natural) to 1 (random); 0 for fewer than three letters, digits, _ or -; other characters are passed over."""
     kept = F.regexp_replace(text, "[^A-Za-z0-9_-]", "")
 
-    def score(x: Column) -> Column:
-        n = F.length(x) - 2
-        total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0).cast("double"), lambda s, i: s + F.element_at(F.transform(F.array(F.substring(x, i, F.lit(3))), trigram_score), 1).cast("double"))
-        return F.when(F.length(x) < 3, 0.0).otherwise(F.least(F.greatest((F.lit(COMMON) - total / n) / (COMMON - RARE), F.lit(0.0)), F.lit(1.0)))
+    def score(grams: Column) -> Column:
+        total = F.aggregate(grams, F.lit(0.0).cast("double"), lambda s, t: s + trigram_score(t).cast("double"))
+        return F.when(F.size(grams) == 0, 0.0).otherwise(F.least(F.greatest((F.lit(COMMON) - total / F.size(grams)) / (COMMON - RARE), F.lit(0.0)), F.lit(1.0)))
 
-    return F.element_at(F.transform(F.array(kept), score), 1)
+    return F.element_at(F.transform(F.array(trigrams(kept)), score), 1)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markov import trigrams
 from ..functions.scalar import any_of
 from . import paths
 
@@ -77,8 +78,7 @@ def normal_path(path):
 def trigram_counts(texts: DataFrame, text_col: str) -> DataFrame:
     """(trigram, n) over the 64 characters of the model."""
     kept = F.regexp_replace(F.col(text_col), "[^A-Za-z0-9_-]", "")
-    grams = F.when(F.length(kept) >= 3, F.transform(F.sequence(F.lit(1), F.length(kept) - 2), lambda i: F.substring(kept, i, F.lit(3))))
-    return texts.select(F.explode(grams).alias("trigram")).groupBy("trigram").agg(F.count("*").alias("n"))
+    return texts.select(F.explode(trigrams(kept)).alias("trigram")).groupBy("trigram").agg(F.count("*").alias("n"))
 
 
 def trigram_table(texts: DataFrame, text_col: str, k: float = 0.01) -> DataFrame:
