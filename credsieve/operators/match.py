@@ -13,7 +13,7 @@ from ..functions.decode import deep_decode_udf
 from ..functions.entropy import entropy_of
 from .rules import as_json, compiled
 
-WINDOW, CAP = 512, 512 * 1024
+WINDOW = 512
 _loaded: dict[tuple[str, str], Matcher] = {}
 
 _DDL = "rule_id string, start long, end long, secret string, line_no long, line string, entropy double, path_rank int"
@@ -96,12 +96,12 @@ def _matcher(spec: str, mode: str) -> Matcher:
     return _loaded[spec, mode]
 
 
-def match_rules(fragments: DataFrame, rules: DataFrame, id_col: str, text_col: str, window: int | None = WINDOW, keyword_mode: str = "all", cap: int | None = CAP) -> DataFrame:
+def match_rules(fragments: DataFrame, rules: DataFrame, id_col: str, text_col: str, window: int | None = WINDOW, keyword_mode: str = "all", cap: int | None = None) -> DataFrame:
     """One row per match: all columns of fragments but the text, rule_id, start and end (characters, from 0), secret, line_no
     (from 1), line and entropy. The rules are broadcast with the task; fragments are not shuffled.
 
     keyword_mode: `all` tries each rule one of whose keywords occurs; `leftmost_first` lets a keyword hide later ones.
-    window None looks through whole texts, cap None at all of a text.
+    window None looks through whole texts. cap: only so many first characters of a text are looked at, all if None.
     """
     spec = as_json(rules)
     kept = [c for c in fragments.columns if c != text_col]
@@ -113,14 +113,17 @@ def match_rules(fragments: DataFrame, rules: DataFrame, id_col: str, text_col: s
             at, rows = [], []
             for i, text in enumerate(batch.column(len(kept)).to_pylist()):
                 text = (text or "") if cap is None else (text or "")[:cap]
-                seen = set()
+                seen, line_no, counted = set(), 1, 0
                 for name, a, z, secret, entropy in tool.find(text, window):
                     if (name, a) not in seen:
                         seen.add((name, a))
                         begin = text.rfind("\n", 0, a) + 1
                         end = text.find("\n", z)
+                        if a < counted:
+                            line_no, counted = 1, 0
+                        line_no, counted = line_no + text.count("\n", counted, a), a
                         at.append(i)
-                        rows.append((name, a, z, secret, text.count("\n", 0, a) + 1, text[begin : end if end >= 0 else len(text)][:512], entropy))
+                        rows.append((name, a, z, secret, line_no, text[begin : end if end >= 0 else len(text)][:512], entropy))
             types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64()]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)]
             places = pa.array(at, pa.int64())

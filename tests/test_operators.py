@@ -105,6 +105,23 @@ def test_windows_of_the_matcher(spark):
     assert [(x.doc_id, x.rule_id, x.secret, x.start) for x in r] == [(1, "generic-token-assignment", "0123456789abcdef" * 2, 2005)]
 
 
+def test_texts_are_scanned_to_their_end(spark, tmp_path):
+    from credsieve.plans import stage_queries
+
+    secret = "AKIA" + "QWERTYUIOPASDFGH"
+    long = "some words\n" * 50_000 + f"aws_key = '{secret}'\n"
+    assert len(long) > 512 * 1024
+    df = spark.createDataFrame([(1, "a", long)], "doc_id long, source string, text string")
+    r = rules.load_rules(spark)
+    assert [(x.rule_id, x.line_no) for x in match.match_rules(df, r, "doc_id", "text").collect()] == [("aws-access-key-id", 50_001)]
+    assert match.match_rules(df, r, "doc_id", "text", cap=512 * 1024).count() == 0
+    hidden = base64.b64encode(long.encode()).decode()
+    decoded = match.match_decoded(spark.createDataFrame([(1, f'x = "{hidden}"')], "doc_id long, text string"), r, "doc_id", "text")
+    assert {(x.rule_id, x.encoding_chain) for x in decoded.collect()} == {("aws-access-key-id", "base64")}
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(x.doc_id, x.rule_id) for x in stage_queries.findings(spark, str(tmp_path)).collect()] == [(1, "aws-access-key-id")]
+
+
 def test_findings_carry_no_secret(spark):
     secret = "a8F3kQ9zX2mN7pL4vB6t"
     df = spark.createDataFrame([(1, "config/.env", f"api_token = '{secret}'\n"), (2, "config/.env", "password = changeme123\n")], "doc_id long, path string, text string")
