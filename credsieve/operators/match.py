@@ -1,4 +1,4 @@
-"""Rules against fragments: one pass of an automaton over all keywords, regexes only around keyword hits."""
+"""Rules against fragments: one pass of an automaton over all keywords, then the regexes of those rules whose keyword occurs."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from ..functions.decode import deep_decode_udf
 from ..functions.entropy import entropy_of
 from .rules import as_json, compiled
 
-WINDOW = 512
 _loaded: dict[tuple[str, str], Matcher] = {}
 
 _DDL = "rule_id string, start long, end long, secret string, line_no long, line string, entropy double, path_rank int"
@@ -96,12 +95,13 @@ def _matcher(spec: str, mode: str) -> Matcher:
     return _loaded[spec, mode]
 
 
-def match_rules(fragments: DataFrame, rules: DataFrame, id_col: str, text_col: str, window: int | None = WINDOW, keyword_mode: str = "all", cap: int | None = None) -> DataFrame:
+def match_rules(fragments: DataFrame, rules: DataFrame, id_col: str, text_col: str, window: int | None = None, keyword_mode: str = "all", cap: int | None = None) -> DataFrame:
     """One row per match: all columns of fragments but the text, rule_id, start and end (characters, from 0), secret, line_no
     (from 1), line and entropy. The rules are broadcast with the task; fragments are not shuffled.
 
     keyword_mode: `all` tries each rule one of whose keywords occurs; `leftmost_first` lets a keyword hide later ones.
-    window None looks through whole texts. cap: only so many first characters of a text are looked at, all if None.
+    window: a rule is tried only within so many characters on either side of its keywords, which cuts longer matches; in the
+    whole text if None. cap: only so many first characters of a text are looked at, all if None.
     """
     spec = as_json(rules)
     kept = [c for c in fragments.columns if c != text_col]

@@ -66,8 +66,7 @@ def hard_negative_penalty(value: Column) -> Column:
     low = F.lower(value)
     trimmed = F.regexp_replace(low, f"^{_CHARS}+|{_CHARS}+$", "")
     n = F.octet_length(value)
-    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.substring(value, i, F.lit(1)))
-    distinct = F.array_distinct(chars)
+    distinct = F.array_distinct(F.split(value, ""))
     most = F.array_max(F.transform(distinct, lambda d: F.length(value) - F.length(F.replace(value, d, F.lit("")))))
     return (
         F.when(trimmed.isin(PLACEHOLDERS) | any_of(trimmed, PLACEHOLDER_PARTS), PENALTY).when((n >= 8) & (most / n >= 0.8), -0.245).when((n >= 16) & (F.size(distinct) <= 3), -0.175)

@@ -122,6 +122,19 @@ def test_texts_are_scanned_to_their_end(spark, tmp_path):
     assert [(x.doc_id, x.rule_id) for x in stage_queries.findings(spark, str(tmp_path)).collect()] == [(1, "aws-access-key-id")]
 
 
+def test_long_key_blocks_are_found(spark, tmp_path):
+    from credsieve.plans import stage_queries
+
+    raw = base64.b64encode(bytes((7 * i * i + i // 3) % 251 for i in range(2200))).decode()
+    block = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(raw[i : i + 64] for i in range(0, len(raw), 64)) + "\n-----END RSA PRIVATE KEY-----"
+    assert 2900 < len(block) < 3200
+    df = spark.createDataFrame([(1, "a", f"some words\n{block}\nmore words\n"), (2, "b", "glpat-" + "ab12CD34" * 200)], "doc_id long, source string, text string")
+    r = rules.load_rules(spark)
+    assert {(x.doc_id, x.rule_id, x.secret) for x in match.match_rules(df, r, "doc_id", "text").collect()} == {(1, "private-key-pem", block), (2, "gitlab-personal-token", "glpat-" + "ab12CD34" * 200)}
+    df.where("doc_id = 1").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(x.rule_id, x.kind, x.line_no) for x in stage_queries.findings(spark, str(tmp_path)).collect()] == [("private-key-pem", "PrivateKey", 2)]
+
+
 def test_findings_carry_no_secret(spark):
     secret = "a8F3kQ9zX2mN7pL4vB6t"
     df = spark.createDataFrame([(1, "config/.env", f"api_token = '{secret}'\n"), (2, "config/.env", "password = changeme123\n")], "doc_id long, path string, text string")
