@@ -13,6 +13,8 @@ from ..functions.decode import deep_decode_udf
 from ..functions.entropy import entropy_of
 from .rules import as_json, compiled
 
+#: Characters of lines that go on at once; each match brings its whole line, however long.
+BATCH = 8_000_000
 _loaded: dict[tuple[str, str], Matcher] = {}
 
 _DDL = "rule_id string, start long, end long, secret string, line_no long, line string, entropy double, path_rank int"
@@ -97,7 +99,7 @@ def _matcher(spec: str, mode: str) -> Matcher:
 
 def match_rules(fragments: DataFrame, rules: DataFrame, id_col: str, text_col: str, window: int | None = None, keyword_mode: str = "all", cap: int | None = None) -> DataFrame:
     """One row per match: all columns of fragments but the text, rule_id, start and end (characters, from 0), secret, line_no
-    (from 1), line and entropy. The rules are broadcast with the task; fragments are not shuffled.
+    (from 1), line (all lines that the match touches, whole) and entropy. The rules are broadcast with the task; fragments are not shuffled.
 
     keyword_mode: `all` tries each rule one of whose keywords occurs; `leftmost_first` lets a keyword hide later ones.
     window: a rule is tried only within so many characters on either side of its keywords, which cuts longer matches; in the
@@ -107,10 +109,16 @@ def match_rules(fragments: DataFrame, rules: DataFrame, id_col: str, text_col: s
     kept = [c for c in fragments.columns if c != text_col]
     schema = fragments.select(*kept).limit(0).selectExpr("*", "cast(null as string) rule_id", "0L start", "0L end", "cast(null as string) secret", "0L line_no", "cast(null as string) line", "0D entropy").schema
 
+    def pack(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64()]
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)]
+        places = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(places) for c in range(len(kept))), *cols], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _matcher(spec, keyword_mode)
         for batch in batches:
-            at, rows = [], []
+            at, rows, size = [], [], 0
             for i, text in enumerate(batch.column(len(kept)).to_pylist()):
                 text = (text or "") if cap is None else (text or "")[:cap]
                 seen, line_no, counted = set(), 1, 0
@@ -123,11 +131,12 @@ def match_rules(fragments: DataFrame, rules: DataFrame, id_col: str, text_col: s
                             line_no, counted = 1, 0
                         line_no, counted = line_no + text.count("\n", counted, a), a
                         at.append(i)
-                        rows.append((name, a, z, secret, line_no, text[begin : end if end >= 0 else len(text)][:512], entropy))
-            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64()]
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)]
-            places = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(places) for c in range(len(kept))), *cols], names=schema.names)
+                        rows.append((name, a, z, secret, line_no, text[begin : end if end >= 0 else len(text)], entropy))
+                        size += len(rows[-1][5])
+                        if size > BATCH:
+                            yield pack(batch, at, rows)
+                            at, rows, size = [], [], 0
+            yield pack(batch, at, rows)
 
     return fragments.select(*kept, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 

@@ -135,6 +135,16 @@ def test_long_key_blocks_are_found(spark, tmp_path):
     assert [(x.rule_id, x.kind, x.line_no) for x in stage_queries.findings(spark, str(tmp_path)).collect()] == [("private-key-pem", "PrivateKey", 2)]
 
 
+def test_matches_far_along_a_line_are_scored_by_it(spark, monkeypatch):
+    monkeypatch.setattr(match, "BATCH", 1000)
+    df = spark.createDataFrame([(i, f"docs/n_{i}.txt", "first line\n" + "word " * n + "password = 'hunterhunter-{i}'") for i, n in ((1, 0), (2, 200), (3, 400))], "doc_id long, path string, text string")
+    r = rules.load_rules(spark)
+    m = match.match_rules(df, r, "doc_id", "text")
+    assert {x.doc_id: len(x.line) for x in m.collect()} == {i: 5 * n + len("password = 'hunterhunter-{i}'") for i, n in ((1, 0), (2, 200), (3, 400))}
+    found = {x.doc_id: (x.variable, x.confidence) for x in ops.score_matches(m, r).collect()}
+    assert set(found) == {1, 2, 3} and len(set(found.values())) == 1 and found[1][0] == "PASSWORD"
+
+
 def test_findings_carry_no_secret(spark):
     secret = "a8F3kQ9zX2mN7pL4vB6t"
     df = spark.createDataFrame([(1, "config/.env", f"api_token = '{secret}'\n"), (2, "config/.env", "password = changeme123\n")], "doc_id long, path string, text string")
