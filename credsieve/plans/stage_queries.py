@@ -275,8 +275,16 @@ def findings(spark, d) -> DataFrame:
     return dedup_best(score_matches(m, r)).select("doc_id", "path", "rule_id", "severity", "kind", "variable", "line_no", "start", "confidence", "secret_redacted", "secret_hash")
 
 
+def document_decoded_findings(spark, d) -> DataFrame:
+    """All built-in rules over what the literals of the documents decode to."""
+    from ..functions.scalar import content_hash
+
+    found = match.match_decoded(table(spark, d, "documents").select("doc_id", "text"), rules.load_rules(spark), "doc_id", "text")
+    return found.select("doc_id", "rule_id", "encoding_chain", "start", content_hash(F.col("secret")).alias("digest"))
+
+
 def decoded_findings(spark, d) -> DataFrame:
-    """Rules over what literals decode to."""
+    """Rules over a made-up literal for each document, as SQL can follow; document_decoded_findings reads the documents."""
     from ..functions.scalar import content_hash
 
     hidden = fragments(spark, d).withColumn("text", F.concat(F.lit('x = "'), F.base64(F.concat(F.lit('token = "'), F.md5("path"), F.lit('"')).cast("binary")), F.lit('"')))
@@ -297,6 +305,7 @@ QUERIES = {
     "scan_report": scan_report, "byte_entropy_docs": byte_entropy_docs, "entropy_windows_engine": _windows("engine"), "entropy_windows_stage": _windows("stage"), "entropy_windows_chunks": _windows("chunks"), "proximity_engine": proximity_engine, "proximity_stage": proximity_stage,
     "tristream_identifiers": tristream_identifiers, "tristream_literals": tristream_literals, "tristream_structure": tristream_structure, "stage_streams": stage_streams, "gated_windows": gated_windows, "token_hits": token_hits, "keyword_prefilter": keyword_prefilter,
     "rule_matches": rule_matches, "regex_theta_join": regex_theta_join, "typed_assignments": typed_assignments, "routed_candidates": routed_candidates, "block_candidates": block_candidates, "findings": findings, "decoded_findings": decoded_findings,
+    "document_decoded_findings": document_decoded_findings,
 }
 ORACLE_SQL = {
     "byte_entropy_docs": BYTE_ENTROPY, "entropy_windows_engine": ENGINE_WINDOWS, "entropy_windows_stage": STAGE_WINDOWS, "entropy_windows_chunks": CHUNK_WINDOWS, "proximity_engine": PROXIMITY_ENGINE, "proximity_stage": PROXIMITY_STAGE, "tristream_identifiers": IDENTIFIERS, "tristream_literals": LITERALS,

@@ -145,6 +145,43 @@ def test_matches_far_along_a_line_are_scored_by_it(spark, monkeypatch):
     assert set(found) == {1, 2, 3} and len(set(found.values())) == 1 and found[1][0] == "PASSWORD"
 
 
+BUILTIN = rules.parse_rules(rules.BUILTIN.read_text())[0]
+
+
+def plain_matches(text):
+    """(rule_id, start, secret) of all built-in rules, without automaton, windows or Spark."""
+    out = set()
+    for r in BUILTIN:
+        if any(k.lower() in text.lower() for k in r.keywords):
+            for m in rules.compiled(r.regex).finditer(text):
+                if not any(rules.compiled(a).search(m[1]) for a in r.allowlist) and entropy_of(m[1].encode()) >= (r.entropy_threshold or 0):
+                    out.add((r.id, m.start(), m[1]))
+    return out
+
+
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def test_literals_of_documents_are_decoded(spark, tmp_path):
+    import re
+
+    from credsieve.plans import stage_queries
+
+    key, token = "aws AKIA" + "QWERTYUIOPASDFGH", 'token = "0123456789abcdef0123"'
+    b64 = lambda x: base64.b64encode(x.encode()).decode()
+    texts = [f'x = "{b64(key)}" and more', f"prose {token.encode().hex()} prose", f'u = "{token.replace(" ", "%20")}"'.replace('="0', "=0"), f"y: '{b64(b64(key))}'", f"url = '{key.replace(' ', '%20')}'", f"plain {key} words", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for i, t in enumerate(texts):
+        quoted = [m[1] if m[1] is not None else m[2] for m in re.finditer(r"""(?s)"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)""", t or "") if m[0][0] == m[0][-1] and len(m[0]) > 2]
+        for literal in {x for x in [*quoted, *re.findall("[A-Za-z0-9+/=]{20,}", t or "")] if len(x) >= 16}:
+            for data, chain in decode.deep_decode(literal.encode()):
+                want |= {(i, n, ">".join(chain), a, sha(s)) for n, a, s in plain_matches(data.decode("utf-8", "replace"))}
+    got = {tuple(r) for r in stage_queries.document_decoded_findings(spark, str(tmp_path)).collect()}
+    assert got == want and {(i, c) for i, _, c, *_ in got} >= {(0, "base64"), (1, "hex"), (3, "base64>base64"), (4, "url")}
+
+
 def test_findings_carry_no_secret(spark):
     secret = "a8F3kQ9zX2mN7pL4vB6t"
     df = spark.createDataFrame([(1, "config/.env", f"api_token = '{secret}'\n"), (2, "config/.env", "password = changeme123\n")], "doc_id long, path string, text string")
