@@ -334,7 +334,7 @@ def event_windows(spark, d) -> DataFrame:
 
 QUERIES = {
     "dedup_best": dedup_best, "dedup_first": dedup_first, "severity_summary": severity_summary, "severity_filter": severity_filter, "findings_sorted": findings_sorted, "chains_by_variable": chains_by_variable, "chains_by_value": chains_by_value, "chains_applied": chains_applied,
-    "baseline_new_findings": baseline_new_findings, "baseline_changed_files": baseline_changed_files, "baseline_state": baseline_state, "rule_override": rule_override, "rule_buckets": rule_buckets, "rules_listed": rules_listed, "db_cells_to_fragments": db_cells_text,
+    "baseline_new_findings": baseline_new_findings, "baseline_changed_files": baseline_changed_files, "baseline_state": baseline_state, "rule_override": rule_override, "rule_buckets": rule_buckets, "rules_listed": rules_listed, "db_cells_to_fragments": db_cells_text, "db_cells_all": db_cells,
     "diff_added_lines": diff_added_lines, "git_patches": git_patches, "dotenv_parse": dotenv_parse, "json_leaves": json_leaves, "notebook_cells": notebook_cells, "chat_messages": chat_messages, "csv_report": csv_report, "sarif_results": sarif_results, "json_report": json_report,
     "scan_stats": scan_stats, "prf1_metrics": prf1_metrics, "error_clusters": error_clusters, "line_tolerance_join": line_tolerance_join, "greedy_match": greedy_match, "tool_comparison": tool_comparison, "markov_trigram_table": markov_trigram_table,
     "circuit_breaker": breaker, "rate_limit": rate_limit, "event_windows": event_windows,

@@ -180,7 +180,16 @@ PLAIN = [r for r in _rule_rows() if r.entropy_threshold is None and not r.allowl
 
 
 def rule_matches(spark, d) -> DataFrame:
-    wanted = rules.load_rules(spark).where(F.col("id").isin([r.id for r in PLAIN]))
+    """Of the rules that SQL can follow; rule_matches_all has all."""
+    return _rule_matches(spark, d, rules.load_rules(spark).where(F.col("id").isin([r.id for r in PLAIN])))
+
+
+def rule_matches_all(spark, d) -> DataFrame:
+    """Of all built-in rules, with their entropy thresholds and allowlists."""
+    return _rule_matches(spark, d, rules.load_rules(spark))
+
+
+def _rule_matches(spark, d, wanted: DataFrame) -> DataFrame:
     found = match.match_rules(table(spark, d, "documents").select("doc_id", "text"), wanted, "doc_id", "text", window=None, cap=None)
     return found.groupBy("doc_id", "rule_id", F.md5(F.col("secret").cast("binary")).alias("digest")).agg(F.count("*").alias("n"))
 
@@ -305,7 +314,7 @@ QUERIES = {
     "scan_report": scan_report, "byte_entropy_docs": byte_entropy_docs, "entropy_windows_engine": _windows("engine"), "entropy_windows_stage": _windows("stage"), "entropy_windows_chunks": _windows("chunks"), "proximity_engine": proximity_engine, "proximity_stage": proximity_stage,
     "tristream_identifiers": tristream_identifiers, "tristream_literals": tristream_literals, "tristream_structure": tristream_structure, "stage_streams": stage_streams, "gated_windows": gated_windows, "token_hits": token_hits, "keyword_prefilter": keyword_prefilter,
     "rule_matches": rule_matches, "regex_theta_join": regex_theta_join, "typed_assignments": typed_assignments, "routed_candidates": routed_candidates, "block_candidates": block_candidates, "findings": findings, "decoded_findings": decoded_findings,
-    "document_decoded_findings": document_decoded_findings,
+    "document_decoded_findings": document_decoded_findings, "rule_matches_all": rule_matches_all,
 }
 ORACLE_SQL = {
     "byte_entropy_docs": BYTE_ENTROPY, "entropy_windows_engine": ENGINE_WINDOWS, "entropy_windows_stage": STAGE_WINDOWS, "entropy_windows_chunks": CHUNK_WINDOWS, "proximity_engine": PROXIMITY_ENGINE, "proximity_stage": PROXIMITY_STAGE, "tristream_identifiers": IDENTIFIERS, "tristream_literals": LITERALS,

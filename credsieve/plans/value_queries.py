@@ -192,10 +192,16 @@ def decode_url(spark, d) -> DataFrame:
 URL = f"select n, s || '! ok' as decoded from ({STRINGS})"
 
 
-def decode_chain(spark, d) -> DataFrame:
+def decode_chain_all(spark, d) -> DataFrame:
+    """All that a chain of encodings decodes to."""
     inner = F.base64(F.concat(F.lit("k="), F.hex(F.col("s").cast("binary"))).cast("binary"))
     x = strings(spark, d).select("n", F.explode(decode.deep_decode_udf(4)(F.hex(F.regexp_replace(inner, "[\r\n]", "").cast("binary")))).alias("d"))
-    return x.select("n", F.array_join("d.chain", ">").alias("chain"), F.md5(F.col("d.data").cast("binary")).alias("digest")).where("chain in ('hex', 'hex>base64')")
+    return x.select("n", F.array_join("d.chain", ">").alias("chain"), F.md5(F.col("d.data").cast("binary")).alias("digest"))
+
+
+def decode_chain(spark, d) -> DataFrame:
+    """The two chains that SQL names."""
+    return decode_chain_all(spark, d).where("chain in ('hex', 'hex>base64')")
 
 
 CHAIN = f"with x as (select n, to_base64(encode('k=' || hex(encode(s)))) as b, 'k=' || hex(encode(s)) as h from ({STRINGS})) select n, 'hex' as chain, md5(b) as digest from x union all select n, 'hex>base64', md5(h) from x"
@@ -252,7 +258,7 @@ def severity_levels(spark, d) -> DataFrame:
 QUERIES = {
     "redact_values": redact_values, "hmac_values": hmac_values, "finding_hashes": finding_hashes, "content_hashes": content_hashes, "line_numbers": line_numbers, "variable_names": variable_names, "markov_heuristic": markov_heuristic, "fusion_scores": fusion_scores,
     "path_features": path_features, "evidence_scores": evidence_scores, "hard_negatives": hard_negatives, "fallback_contexts": fallback_contexts, "decode_base64_step": decode_base64, "decode_hex_step": decode_hex_own, "decode_url_step": decode_url,
-    "decode_chain": decode_chain, "tokenize_chars": token_ids, "blast_radius": blast_radius, "validation_statuses": validation_statuses, "severity_levels": severity_levels,
+    "decode_chain": decode_chain, "decode_hex_step_all": decode_hex, "decode_chain_all": decode_chain_all, "tokenize_chars": token_ids, "blast_radius": blast_radius, "validation_statuses": validation_statuses, "severity_levels": severity_levels,
 }
 
 

@@ -182,6 +182,29 @@ def test_literals_of_documents_are_decoded(spark, tmp_path):
     assert got == want and {(i, c) for i, _, c, *_ in got} >= {(0, "base64"), (1, "hex"), (3, "base64>base64"), (4, "url")}
 
 
+def test_queries_of_all_rules_and_rows(spark, tiny, small):
+    from collections import Counter
+
+    from credsieve.plans import catalogue, tables
+
+    run = lambda n, d=tiny: catalogue.QUERIES[n](spark, d).collect()
+    md5 = lambda b: hashlib.md5(b).hexdigest()
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    want = Counter((r.doc_id, n, md5(s.encode())) for r in docs for n, _, s in plain_matches(r.text or ""))
+    assert {(r.doc_id, r.rule_id, r.digest): r.n for r in run("rule_matches_all", small)} == want and any(n == "generic-token-assignment" for _, n, _ in want)
+    rows = [r.asDict() for r in spark.read.parquet(f"{tiny}/customer.parquet").collect()]
+    cells = {(r.path, r.text) for r in run("db_cells_all")}
+    assert {(p, float(t) if p.endswith("/c_acctbal") else t) for p, t in cells} == {(f"db://db:0/customer/row{r['c_custkey']}/{c}", float(v) if c == "c_acctbal" else str(v)) for r in rows for c, v in r.items() if v is not None}
+    values = {r.n: r.s for r in tables.strings(spark, tiny).collect()}
+    encoded = {n: [s.encode().hex(), s.encode().hex().upper() + "0", s][n % 3] for n, s in values.items()}
+    hexadecimal = lambda e: len(e) % 2 == 0 and e != "" and all(c in "0123456789abcdefABCDEF" for c in e)
+    decoded = {r.n: r.decoded for r in run("decode_hex_step_all")}
+    assert set(decoded) == set(values) and all((decoded[n] is not None) == hexadecimal(e) for n, e in encoded.items())
+    assert all(decoded[n] == bytes.fromhex(e).decode("utf-8", "replace") for n, e in encoded.items() if hexadecimal(e) and n % 3 == 0)
+    chains = {(n, ">".join(c), md5(x.decode("utf-8", "replace").encode())) for n, s in values.items() for x, c in decode.deep_decode(base64.b64encode(b"k=" + s.encode().hex().upper().encode()).hex().upper().encode())}
+    assert {tuple(r) for r in run("decode_chain_all")} == chains
+
+
 def test_findings_carry_no_secret(spark):
     secret = "a8F3kQ9zX2mN7pL4vB6t"
     df = spark.createDataFrame([(1, "config/.env", f"api_token = '{secret}'\n"), (2, "config/.env", "password = changeme123\n")], "doc_id long, path string, text string")
