@@ -45,6 +45,14 @@ def findings_sorted(spark, d) -> DataFrame:
 SORTED = f"select id, severity, confidence, path, start, rule_id from ({FINDINGS}) order by {_RANK} desc, confidence desc, path, start, rule_id limit 100"
 
 
+def findings_sorted_all(spark, d) -> DataFrame:
+    """All findings in the order of a report."""
+    return ops.in_order(findings(spark, d)).select("id", "severity", "confidence", "path", "start", "rule_id")
+
+
+SORTED_ALL = f"select id, severity, confidence, path, start, rule_id from ({FINDINGS}) order by {_RANK} desc, confidence desc, path, start, rule_id"
+
+
 def chains_by_variable(spark, d) -> DataFrame:
     c = ops.variable_chains(findings(spark, d))
     return c.select("variable_name", "origin_id", F.size("propagation_ids").alias("n_propagation"), F.size("usage_ids").alias("n_usage"), "chain_confidence")
@@ -333,7 +341,7 @@ def event_windows(spark, d) -> DataFrame:
 
 
 QUERIES = {
-    "dedup_best": dedup_best, "dedup_first": dedup_first, "severity_summary": severity_summary, "severity_filter": severity_filter, "findings_sorted": findings_sorted, "chains_by_variable": chains_by_variable, "chains_by_value": chains_by_value, "chains_applied": chains_applied,
+    "dedup_best": dedup_best, "dedup_first": dedup_first, "severity_summary": severity_summary, "severity_filter": severity_filter, "findings_sorted": findings_sorted, "findings_sorted_all": findings_sorted_all, "chains_by_variable": chains_by_variable, "chains_by_value": chains_by_value, "chains_applied": chains_applied,
     "baseline_new_findings": baseline_new_findings, "baseline_changed_files": baseline_changed_files, "baseline_state": baseline_state, "rule_override": rule_override, "rule_buckets": rule_buckets, "rules_listed": rules_listed, "db_cells_to_fragments": db_cells_text, "db_cells_all": db_cells,
     "diff_added_lines": diff_added_lines, "git_patches": git_patches, "dotenv_parse": dotenv_parse, "json_leaves": json_leaves, "notebook_cells": notebook_cells, "chat_messages": chat_messages, "csv_report": csv_report, "sarif_results": sarif_results, "json_report": json_report,
     "scan_stats": scan_stats, "prf1_metrics": prf1_metrics, "error_clusters": error_clusters, "line_tolerance_join": line_tolerance_join, "greedy_match": greedy_match, "tool_comparison": tool_comparison, "markov_trigram_table": markov_trigram_table,
@@ -341,7 +349,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "dedup_best": DEDUP_BEST, "dedup_first": DEDUP_FIRST, "severity_summary": f"select severity, count(*) as n, max(confidence) as max_confidence from ({FINDINGS}) group by severity",
-    "severity_filter": f"select id, severity, confidence from ({FINDINGS}) where severity in ('high', 'critical') and confidence >= 0.5", "findings_sorted": SORTED, "chains_by_variable": CHAIN_VARS, "chains_by_value": CHAIN_VALUES, "chains_applied": CHAIN_APPLIED,
+    "severity_filter": f"select id, severity, confidence from ({FINDINGS}) where severity in ('high', 'critical') and confidence >= 0.5", "findings_sorted": SORTED, "findings_sorted_all": SORTED_ALL, "chains_by_variable": CHAIN_VARS, "chains_by_value": CHAIN_VALUES, "chains_applied": CHAIN_APPLIED,
     "baseline_new_findings": BASELINE, "baseline_changed_files": CHANGED, "baseline_state": STATE, "rule_override": OVERRIDE, "rule_buckets": BUCKETS, "rules_listed": LISTED, "db_cells_to_fragments": CELLS, "diff_added_lines": ADDED, "git_patches": PATCHES, "dotenv_parse": DOTENV,
     "json_leaves": LEAVES, "notebook_cells": CELLS_NB, "chat_messages": CHAT, "csv_report": CSV, "sarif_results": SARIF, "json_report": f"select rule_id, severity, count(*) as n from ({FINDINGS}) group by all", "scan_stats": STATS, "prf1_metrics": PRF1, "error_clusters": _clusters(),
     "line_tolerance_join": TOLERANCE, "markov_trigram_table": TRIGRAMS, "event_windows": "select date_trunc('hour', ts) as begins, event_type, count(*) as n from events group by all",

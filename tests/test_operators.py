@@ -205,6 +205,15 @@ def test_queries_of_all_rules_and_rows(spark, tiny, small):
     assert {tuple(r) for r in run("decode_chain_all")} == chains
 
 
+def test_all_findings_are_sorted(spark, tiny):
+    from credsieve.plans import catalogue
+
+    rows = catalogue.QUERIES["findings_sorted_all"](spark, tiny).collect()
+    assert len(rows) == spark.read.parquet(f"{tiny}/events.parquet").count() > 100
+    order = [(-scalar.SEVERITIES.index(r.severity), -r.confidence, r.path, r.start, r.rule_id) for r in rows]
+    assert order == sorted(order)
+
+
 def test_findings_carry_no_secret(spark):
     secret = "a8F3kQ9zX2mN7pL4vB6t"
     df = spark.createDataFrame([(1, "config/.env", f"api_token = '{secret}'\n"), (2, "config/.env", "password = changeme123\n")], "doc_id long, path string, text string")
