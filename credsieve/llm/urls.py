@@ -1,7 +1,7 @@
 """URL filters against lists that change: dated entries become validity intervals, an as-of join judges each capture.
 
 An entry is a host (which stands for its subdomains, too) or a host and the first parts of a path; at its date it is added to a
-category or taken off. A capture offers all its host suffixes, bare and with path prefixes, as keys; it is judged by the entries
+category or taken off. A capture offers all its host suffixes, bare and with path prefixes as deep as the list's deepest entry, as keys; it is judged by the entries
 whose interval holds the time of the fetch. Captures are judged once per URL and time, so a host's many captures are
 spread over its URLs and times; lists up to a checked size are broadcast, longer ones joined by key.
 """
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Path parts that an entry can have.
-DEPTH = 2
 #: Intervals that may be broadcast, some 100 bytes each.
 MOST_INTERVALS = 500_000
 
@@ -38,13 +36,13 @@ def validity(entries: DataFrame) -> DataFrame:
     return events.select("pattern", "category", "action", F.col("at").alias("since"), later.alias("until")).where("action = 'add'").drop("action")
 
 
-def keys(url: Column) -> Column:
-    """What entries can match the URL; null for none that has a host."""
+def keys(url: Column, depth: Column) -> Column:
+    """What entries of up to `depth` path parts can match the URL; null for none that has a host."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.filter(F.split(F.lower(F.regexp_extract(url, PATH, 1)), "/"), lambda p: p != "")
-    starts = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(DEPTH))), lambda i: F.array_join(F.concat(F.array(F.lit("")), F.slice(parts, F.lit(1), i)), "/"))
+    starts = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), depth)), lambda i: F.array_join(F.concat(F.array(F.lit("")), F.slice(parts, F.lit(1), i)), "/"))
     return F.when(host != "", F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, p)))))
 
 
@@ -61,8 +59,9 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
     url, at = F.col(url_col), F.col(time_col)
     intervals, _ = shared.stash(validity(entries), "intervals")
     offered = rows.where(url.isNotNull() & at.isNotNull()).select(url.alias("_url"), at.alias("_at")).distinct()
-    offered = offered.select("_url", "_at", F.explode(F.array_distinct(keys(F.col("_url")))).alias("pattern"))
-    side = F.broadcast(intervals) if intervals.count() <= MOST_INTERVALS else intervals
+    n, depth = intervals.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0))).first()
+    offered = offered.select("_url", "_at", F.explode(F.array_distinct(keys(F.col("_url"), F.lit(depth)))).alias("pattern"))
+    side = F.broadcast(intervals) if n <= MOST_INTERVALS else intervals
     valid = (F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until")))
     hits = offered.join(side, "pattern").where(valid)
     longest = F.min(F.struct((-F.length("pattern")).alias("l"), F.col("pattern").alias("p")))["p"]

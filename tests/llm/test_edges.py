@@ -147,6 +147,14 @@ def test_urls(spark):
     assert not any(r.blocked for r in judge(caps, entries.where("false")).collect()) and judge(caps.where("false"), entries).collect() == []
 
 
+def test_urls_by_entries_of_any_depth(spark):
+    deep = "e.org/" + "/".join(f"p{i}" for i in range(12))
+    entries = spark.createDataFrame([("b.org/a/b/c/", "spam", "add", "2024-01-01"), (deep, "adult", "add", "2024-01-01")], "pattern string, category string, action string, at string").withColumn("at", F.to_date("at"))
+    rows = [(1, "http://x.b.org/a/b/c/d/e?q", "2024-05-05"), (2, "http://b.org/a/b/cc", "2024-05-05"), (3, f"http://{deep}/more", "2024-05-05"), (4, "http://b.org/a/b", "2024-05-05"), (5, f"http://{deep[:-1]}", "2024-05-05")]
+    got = {r.page_id: r.entry for r in judge(spark.createDataFrame(rows, "page_id long, url string, fetched_at string").withColumn("fetched_at", F.to_date("fetched_at")), entries).collect()}
+    assert got == {1: "b.org/a/b/c", 2: None, 3: deep, 4: None, 5: None}
+
+
 def test_stages_keep_columns_and_stand_any_rows(spark, docs, tiny):
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES:
