@@ -1,5 +1,9 @@
 """Every query against DuckDB where it has SQL, else that it runs; and what entry() returns."""
 
+import json
+import os
+import shutil
+import subprocess
 import sys
 from pathlib import Path
 
@@ -31,10 +35,15 @@ def test_entry(spark):
     assert df.count() == 200 and df.columns[0] == "doc_id"
 
 
-def test_the_library_stands_without_the_optional_parts(spark, monkeypatch):
-    import importlib.util
-
-    found = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n.startswith(("credsieve.llm", "corpus_pipeline")) else found(n, *a))
-    assert set(__spark_entry__.queries()) == set(catalogue.QUERIES)
-    assert set(__spark_entry__.oracle_sql()) == set(catalogue.ORACLE_SQL)
+def test_the_library_stands_without_the_optional_parts(tmp_path):
+    """In a copy of the repository with both llm folders deleted, with the pipeline and without it."""
+    root = Path(__file__).parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "*.json", "*.txt"))
+    for folder in ("credsieve/llm", "tests/llm"):
+        shutil.rmtree(copy / folder, ignore_errors=True)
+    show = "import json, __spark_entry__ as e; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
+    for _ in range(2):
+        done = subprocess.run([sys.executable, "-c", show], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True)
+        assert json.loads(done.stdout.splitlines()[-1]) == [sorted(catalogue.QUERIES), sorted(catalogue.ORACLE_SQL)]
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
