@@ -1,10 +1,11 @@
 """BPE encoding and decoding with a table of distinct words.
 
-Texts are split into pre-tokens in blocks of a few MB. A block sends each of its distinct words once to the bucket
-that owns the word (a hash decides), together with nothing but its place in the block's word list; a bucket encodes every
-distinct word once, whatever number of blocks hold it, and answers with ids. Blocks then put ids back by position and
-decode through the vocabulary's id-to-piece table, whose size is that of the vocabulary. A word as frequent as `the`
-travels once per block, so no word is hot; blocks and buckets are bounded.
+Texts are split into pre-tokens in blocks of a few MB. A block writes its texts as places in its list of distinct words, and
+sends each of these words once to the bucket that owns the word (a hash decides). A bucket encodes every distinct word once,
+whatever number of blocks hold it, and answers with ids. Blocks join the ids back by position and decode by a join of the
+ids with the vocabulary's id-to-piece table, whose size is that of the vocabulary. A word as frequent as `the` travels once
+per block, so no word is hot. Texts themselves are shuffled once at most, as places; blocks, buckets and what a worker
+remembers of words are bounded.
 """
 
 from __future__ import annotations
@@ -17,13 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: Characters of text in a block. A larger block names fewer words twice; a worker holds one at a time.
-BLOCK_BYTES = 12 << 20
+#: Bytes of text in a block, or one text. A larger block names fewer words twice; a worker holds one at a time.
+BLOCK_BYTES = 8 << 20
+#: Words that a bucket remembers the ids of, some 100 bytes each. Beyond that it forgets them and encodes a word again that
+#: comes again; results are the same. More shuffle partitions make more buckets.
+MOST_WORDS = 400_000
+#: Characters of a text that are split at a time, and words that are encoded at a time.
+_SPLIT, _ENCODE = 1 << 20, 1 << 14
 
 # The contraction endings that the public word-level pattern splits off, and that pattern in whole.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -32,6 +39,9 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e¡-±´-¸º»¿-įĲ-ſ–—‘’“”…€]*")
 _PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
+# Where a long text may be cut without a change of its words: between a blank and a letter.
+_CUT = re.compile(r" (?=[a-zA-Z])")
+
 _loaded: dict[str, Splitter] = {}
 
 
@@ -71,6 +81,14 @@ class Splitter:
                 out += [norm[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(norm)]
         return out
 
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """words(), some of them at a time."""
+        a = 0
+        while len(text) - a > _SPLIT and (cut := _CUT.search(text, a + _SPLIT)):
+            yield self.words(text[a : cut.end()])
+            a = cut.end()
+        yield self.words(text[a:] if a else text)
+
     def ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch(words, add_special_tokens=False)]
 
@@ -109,18 +127,20 @@ def _unpack(blob: bytes) -> list[bytes]:
     return out
 
 
-_FLOW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
-_FLOW_DDL = "bucket int, block long, part int, payload binary"
+_SPLIT_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("texts", pa.binary())])
+_FLOW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
+_FLOW_DDL = "bucket int, block long, payload binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """Rows in order, cut after every BLOCK_BYTES of text."""
     ids, texts, size = [], [], 0
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
+        for i, text, n in zip(batch.column(0).to_pylist(), batch.column(1), sizes):
             ids.append(i)
-            texts.append(text or "")
-            size += len(texts[-1])
+            texts.append(text.as_py() or "")
+            size += n
             if size >= BLOCK_BYTES:
                 yield ids, texts
                 ids, texts, size = [], [], 0
@@ -132,12 +152,15 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     """Rows (id_col, ids array<int>, decoded string), one for each row of docs, as the tokenizers library encodes the
     whole text (no special tokens added) and decodes the ids (none skipped).
 
-    Null and empty texts give no ids and an empty string. Rows that repeat give as many rows; a null id stays null.
-    id_col must be integral; other columns are ignored. The order of rows is not kept. docs should be a scan of a table:
-    blocks are cut in the order of its rows, and a task that is lost and run again must see the same (it is checked).
+    Null and empty texts give no ids and an empty string; an empty table gives no rows. Rows that repeat give as many rows; a
+    null id stays null. Very long texts are whole, in a block of their own, split and encoded some of their words at a time.
+    Equal words have equal ids, so there are no ties. id_col must be integral; other columns are ignored, whatever their
+    names. The order of rows is not kept. The split texts are written to the shared folder, so that blocks stay the same when an
+    executor is lost.
     """
     spark = docs.sparkSession
     n_buckets = shared.buckets(spark, 16)
+    shared.small_batches(spark)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -147,50 +170,51 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
             block = (task << 32) + k
             place: dict[str, int] = defaultdict()
             place.default_factory = place.__len__
-            lens, codes = np.zeros(len(texts), np.int64), []
+            lens, codes = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)]
             for n, text in enumerate(texts):
-                codes += map(place.__getitem__, found := tok.words(text))
-                lens[n] = len(found)
+                for found in tok.parts(text):
+                    codes.append(np.fromiter(map(place.__getitem__, found), np.uint32, len(found)))
+                    lens[n] += len(found)
             own: list[list[str]] = [[] for _ in range(n_buckets)]
             for w in sorted(place):
                 own[zlib.crc32(w.encode()) % n_buckets].append(w)
             # Codes follow the order in which answers come back: bucket by bucket, sorted within.
             order = np.zeros(len(place), np.uint32)
             order[[place[w] for ws in own for w in ws]] = np.arange(len(place), dtype=np.uint32)
-            coded = order[np.array(codes, dtype=np.int64)] if codes else np.zeros(0, np.uint32)
+            coded = order[np.concatenate(codes)]
             # The most frequent words get the smallest numbers, which compress best.
             count = np.bincount(coded, minlength=len(place))
             by_use = np.argsort(-count, kind="stable")
-            rank = np.empty(len(place), np.int64)
+            rank = np.empty(len(place), np.uint32)
             rank[by_use] = np.arange(len(place))
             known = np.array([i is not None for i in ids], dtype=np.uint8)
-            stamp = zlib.crc32("\n".join(w for ws in own for w in ws).encode()).to_bytes(4, "little")
-            rows = [(zlib.crc32(b"%d" % block) % n_buckets, block, -1, _pack(np.array([i or 0 for i in ids], np.int64), known, lens, _planes(rank[coded]), _planes(by_use), stamp))]
+            rows = [(-1, block, None, _pack(np.array([i or 0 for i in ids], np.int64), known, lens, _planes(rank[coded]), _planes(by_use)))]
             for b, ws in enumerate(own):
                 if ws:
                     raw = [w.encode() for w in ws]
-                    rows.append((b, block, b, _pack(np.array(list(map(len, raw)), np.uint32), b"".join(raw), stamp)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _FLOW)], schema=_FLOW)
-            del place, codes, order, coded, count, by_use, rank, rows, own
+                    rows.append((b, block, _pack(np.array(list(map(len, raw)), np.uint32), b"".join(raw)), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _SPLIT_ROWS)], schema=_SPLIT_ROWS)
+            del place, codes, order, coded, count, by_use, rank, rows, own, texts, ids
         shared.give_back()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, known, bucket = splitter(tokenizer_path), {}, None
+        tok, bucket = splitter(tokenizer_path), None
+        known: dict[bytes, bytes] = {}
         for batch in batches:
-            out = []
-            for b, block, part, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                if part >= 0:
-                    if b != bucket:
-                        known, bucket = {}, b
-                    sizes, raw, stamp = _unpack(payload)
-                    ends = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
-                    words = [raw[a:z] for a, z in zip([0, *ends], ends)]
-                    if new := [w for w in words if w not in known]:
-                        known.update((w, np.array(i, tok.wide)) for w, i in zip(new, tok.ids([w.decode() for w in new])))
-                    got = [known[w] for w in words]
-                    payload = _pack(_planes(np.array(list(map(len, got)), np.uint32)), np.concatenate(got).tobytes(), stamp)
-                out.append((b, block, part, payload))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), _FLOW)], schema=_FLOW)
+            for b, block, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != bucket or len(known) > MOST_WORDS:
+                    known, bucket = {}, b
+                sizes, raw = _unpack(payload)
+                ends = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
+                words = [raw[a:z] for a, z in zip([0, *ends], ends)]
+                new = [w for w in words if w not in known]
+                for a in range(0, len(new), _ENCODE):
+                    some = new[a : a + _ENCODE]
+                    known.update((w, np.array(i, tok.wide).tobytes()) for w, i in zip(some, tok.ids([w.decode() for w in some])))
+                got = [known[w] for w in words]
+                lens = np.array(list(map(len, got)), np.uint32) // np.dtype(tok.wide).itemsize
+                row = [[b], [block], [_pack(_planes(lens), b"".join(got))]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _FLOW)], schema=_FLOW)
         known = {}
         shared.give_back()
 
@@ -201,11 +225,9 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
         block, held = None, {}
 
         def done() -> Iterator[pa.RecordBatch]:
-            doc_ids, known, lens, codes, by_use, stamp = _unpack(held.pop(-1))
+            doc_ids, known, lens, codes, by_use = _unpack(held.pop(-1))
             by_use, codes, lens = _unplaned(by_use), _unplaned(codes), np.frombuffer(lens, np.int64)
-            answers = [_unpack(held[p]) for p in sorted(held)]
-            if any(a[2] != stamp for a in answers):
-                raise RuntimeError("rows came in another order when a lost task ran again; write the input to a table first")
+            answers = [_unpack(held.pop(p)) for p in sorted(held)]
             sizes = np.concatenate([_unplaned(a[0]) for a in answers] or [np.zeros(0, np.uint32)]).astype(np.int64)
             flat = np.concatenate([np.frombuffer(a[1], tok.wide) for a in answers] or [np.zeros(0, tok.wide)])
             starts = np.cumsum(sizes) - sizes
@@ -225,7 +247,7 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
                 a = z
 
         for batch in batches:
-            for b, part, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "payload"))):
+            for part, b, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != block and held:
                     yield from done()
                     held = {}
@@ -236,9 +258,12 @@ def bpe_encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
         held = {}
         shared.give_back()
 
-    flow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(split, _FLOW_DDL)
-    answered = flow.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encode, _FLOW_DDL)
-    whole = answered.repartition(n_buckets, "block").sortWithinPartitions("block").mapInArrow(assemble, "id long, ids array<int>, decoded string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    flow, _ = shared.stash(texts.mapInArrow(split, "bucket int, block long, words binary, texts binary"), "blocks")
+    asked = flow.where("bucket >= 0").select("bucket", "block", F.col("words").alias("payload"))
+    answered = asked.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(encode, _FLOW_DDL)
+    placed = flow.where("bucket < 0").select("bucket", "block", F.col("texts").alias("payload"))
+    whole = answered.unionByName(placed).repartition(n_buckets, "block").sortWithinPartitions("block").mapInArrow(assemble, "id long, ids array<int>, decoded string")
     return whole.withColumnRenamed("id", id_col)
 
 

@@ -46,6 +46,17 @@ def buckets(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of an Arrow batch between the JVM and Python; one row may be larger.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, for texts whose lengths differ a lot; a session with a lower bound keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def give_back() -> None:
     """Returns memory that a Python worker no longer uses; workers live on between stages."""
     import ctypes

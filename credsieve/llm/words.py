@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-BLOCK_BYTES = 4 << 20
+#: Text that is worked on at once.
+BLOCK_BYTES = 2 << 20
+#: Bytes over which powers of the hash's base run; longer texts start over, so the table never grows.
+SEGMENT = 1 << 17
 
 _BASE = np.uint64(0x9E6C63D0676A9A99)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,14 +27,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        one = np.ones(n, np.uint64)
-        up, down = one * _BASE, one * _INVERSE
-        up[0] = down[0] = 1
-        _powers = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return _powers
+def _powers(base: np.uint64) -> np.ndarray:
+    steps = np.full(SEGMENT, base)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(_INVERSE)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of the words of data between starts and ends; equal words have equal hashes wherever they stand."""
+    out = np.empty(len(starts), np.uint64)
+    w = 0
+    while w < len(starts):
+        a = int(starts[w])
+        z = int(np.searchsorted(ends, a + SEGMENT, side="right"))
+        if z == w:  # a word longer than a segment
+            total = 0
+            for k in range(a, int(ends[w]), SEGMENT):
+                part = data[k : min(k + SEGMENT, int(ends[w]))].astype(np.uint64)
+                total += int((part * _UP[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), k - a, 1 << 64)
+            out[w] = (total + int(ends[w]) - a) & ((1 << 64) - 1)
+            w += 1
+            continue
+        part = data[a : int(ends[z - 1])].astype(np.uint64)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * _UP[: len(part)], out=sums[1:])
+        s, e = starts[w:z] - a, ends[w:z] - a
+        out[w:z] = (sums[e] - sums[s]) * _DOWN[s] + (e - s).astype(np.uint64)
+        w = z
+    return mix(out)
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int]]:
@@ -76,11 +101,7 @@ def words_of(texts: pa.Array, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     last[:-1] &= ~inside[1:]
     last[edges[1:] - 1] = inside[edges[1:] - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data.astype(np.uint64) * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return starts, ends, np.searchsorted(starts, at), hashes
+    return starts, ends, np.searchsorted(starts, at), _hashes(data, starts, ends)
 
 
 def byte_map(lower: bool, is_word) -> np.ndarray:
