@@ -134,6 +134,14 @@ def test_vectors(spark):
     assert near_vectors(df.where("false")).collect() == []
 
 
+def test_vectors_at_the_threshold(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [4.0, 3.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    # Cosines: 24/25 between the first two, 4/5 and 3/5 with the third.
+    assert {r.vec_id: r.n_links for r in near_vectors(df, 0.5).collect()} == {1: 2, 2: 2, 3: 2}
+    assert {r.vec_id: r.n_links for r in near_vectors(df, 0.8).collect()} == {1: 2, 2: 1, 3: 1}
+    assert {r.vec_id: r.n_links for r in near_vectors(df, 0.97).collect()} == {1: 0, 2: 0, 3: 0}
+
+
 def test_urls(spark):
     entries = spark.createDataFrame(
         [("Spam.example.", "spam", "add", "2024-01-01"), ("spam.example", "spam", "remove", "2024-02-01"), ("spam.example", "spam", "add", "2024-03-01"), ("b.org/bad/", "adult", "add", "2024-01-01"), (None, "x", "add", "2024-01-01"), ("c.org", "x", "other", "2024-01-01"), ("d.org", "x", "add", "2024-01-01"), ("d.org", "x", "remove", "2024-01-01")],
