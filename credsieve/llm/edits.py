@@ -1,10 +1,12 @@
-"""Token counts that follow edits: a segment tree of pre-tokens for each document.
-
-Leaves hold runs of pre-tokens with their token counts; inner nodes hold sums of characters and tokens. An edit finds its
-place by descending the character sums. Pre-tokens are split anew from two before the place (no alternative of the pattern looks
-further ahead than the blanks after it and one more character), until a new boundary falls on an old one behind the edit;
-from there on the text and so its pre-tokens are the old ones. Only these are encoded again, and only the leaves
-that hold them and their ancestors get new sums.
+"""Token counts that follow edits: a segment tree of pre-tokens for each document, kept as a table.
+
+token_trees() splits and counts whole texts once; a row holds the text, how long each pre-token is, how many tokens it has, and
+how many pre-tokens each leaf holds. edit_trees() takes such rows with edits and returns rows of the same kind, so a table of
+trees can be kept and edited again and again. Leaves hold pre-tokens with their counts, split and merge as they grow and
+shrink; inner nodes hold sums of characters and tokens. An edit finds its place by descending the character sums. Pre-tokens
+are split anew from two before the place (no alternative of the pattern looks further ahead than the blanks after it and one
+more character), until a new boundary falls on an old one behind the edit; from there on the text and so its pre-tokens are
+the old ones. Only these are encoded again, and only the leaves that hold them and their ancestors get new sums.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from . import shared
 from .words import slices
 
 LEAF = 64
-_KNOWN_AT_MOST = 1_000_000
+_KNOWN_AT_MOST = 200_000
 _loaded: dict[str, Counter] = {}
 
 
@@ -38,6 +40,7 @@ class Counter:
         self.known: dict[str, int] = {}
 
     def count(self, piece: str) -> int:
+        """Tokens of a pre-token. What short ones have is remembered, up to a bound."""
         n = self.known.get(piece)
         if n is None:
             n = len(self.encoding.encode_ordinary(piece))
@@ -55,11 +58,27 @@ def counter(path: str, pattern: str) -> Counter:
 
 
 class TokenTree:
-    def __init__(self, text: str, tool: Counter):
-        self.tool = tool
-        self.encoded = 0
+    """pieces: pre-tokens; counts: their tokens; sizes: how many of them each leaf holds. encoded: how many pre-tokens had
+    their tokens counted by edits."""
+
+    def __init__(self, pieces: list[str], counts: list[int], tool: Counter, sizes: list[int] | None = None):
+        self.tool, self.encoded = tool, 0
+        self.leaves: list[list[str]] = []
+        self.counts: list[list[int]] = []
+        a = 0
+        for n in sizes if sizes is not None else [LEAF] * (len(pieces) // LEAF) + [len(pieces) % LEAF]:
+            self.leaves.append(pieces[a : a + n])
+            self.counts.append(counts[a : a + n])
+            a += n
+        self._build()
+
+    @classmethod
+    def of(cls, text: str, tool: Counter) -> TokenTree:
         pieces = tool.split.findall(text)
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+        return cls(pieces, list(map(tool.count, pieces)), tool)
+
+    def _build(self) -> None:
+        self.leaves, self.counts = self.leaves or [[]], self.counts or [[]]
         self.base = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.base), [0] * (2 * self.base)
         for i in range(len(self.leaves)):
@@ -68,9 +87,8 @@ class TokenTree:
             self._sum(v)
 
     def _sum_leaf(self, i: int) -> None:
-        leaf, count = self.leaves[i], self.tool.count
-        self.chars[self.base + i] = sum(map(len, leaf))
-        self.tokens[self.base + i] = sum(map(count, leaf))
+        self.chars[self.base + i] = sum(map(len, self.leaves[i]))
+        self.tokens[self.base + i] = sum(self.counts[i])
 
     def _sum(self, v: int) -> None:
         self.chars[v] = self.chars[2 * v] + self.chars[2 * v + 1]
@@ -148,16 +166,45 @@ class TokenTree:
             done = self._fresh(old, len(old) < n, start - at, end - at, new)
             n *= 2
         fresh, used = done
-        self.encoded += len(fresh)
+        # Fresh pre-tokens that are the old ones at either end keep their counts.
+        old = self._take(leaf, k, used)
+        same = 0
+        while same < min(len(fresh), used) and fresh[same] == old[same]:
+            same += 1
+        tail = 0
+        while tail < min(len(fresh), used) - same and fresh[-1 - tail] == old[-1 - tail]:
+            tail += 1
         last, last_k = leaf, k
         while used > len(self.leaves[last]) - last_k:
             used -= len(self.leaves[last]) - last_k
             last, last_k = last + 1, 0
+        had = [n for i in range(leaf, last + 1) for n in self.counts[i]][k : k + len(old)]
+        new_counts = had[:same] + list(map(self.tool.count, fresh[same : len(fresh) - tail])) + had[len(had) - tail :]
+        self.encoded += len(fresh) - same - tail
         whole = self.leaves[leaf][:k] + fresh + self.leaves[last][last_k + used :]
-        each = max(1, -(-len(whole) // (last - leaf + 1)))
+        counts = self.counts[leaf][:k] + new_counts + self.counts[last][last_k + used :]
+        self._put(leaf, last, whole, counts)
+
+    def _put(self, leaf: int, last: int, whole: list[str], counts: list[int]) -> None:
+        """Puts pre-tokens in the place of leaves; leaves above twice or below a quarter of LEAF are split or merged."""
+        n_old = last - leaf + 1
+        if len(whole) < LEAF // 4 and len(self.leaves) > n_old:
+            if last + 1 < len(self.leaves):
+                last += 1
+                whole, counts = whole + self.leaves[last], counts + self.counts[last]
+            else:
+                leaf -= 1
+                whole, counts = self.leaves[leaf] + whole, self.counts[leaf] + counts
+            n_old = last - leaf + 1
+        n_new = n_old if LEAF // 4 * n_old <= len(whole) <= 2 * LEAF * n_old else max(1, -(-len(whole) // LEAF))
+        cuts = [len(whole) * i // n_new for i in range(n_new + 1)]
+        self.leaves[leaf : last + 1] = [whole[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
+        self.counts[leaf : last + 1] = [counts[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
+        if n_new != n_old:  # the inner nodes stand over other leaves now; their sums need no token counted
+            self._build()
+            return
         touched = set()
         for i in range(leaf, last + 1):
-            self.leaves[i] = whole[(i - leaf) * each : (i - leaf + 1) * each]
             self._sum_leaf(i)
             touched.add((self.base + i) // 2)
         while touched := touched - {0}:
@@ -169,34 +216,89 @@ class TokenTree:
         return "".join(p for leaf in self.leaves for p in leaf)
 
 
-_OUT = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_tokens_after", pa.int64()), ("n_pretokens", pa.int64()), ("n_encoded_again", pa.int64())])
+_TREE = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n_tokens", pa.int64()), ("lengths", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("leaves", pa.list_(pa.int32()))])
+_TREE_DDL = "id long, text string, n_tokens long, lengths array<int>, counts array<int>, leaves array<int>"
+_EDITED = [pa.field("n_tokens_before", pa.int64()), pa.field("n_pretokens_before", pa.int64()), pa.field("n_encoded_again", pa.int64())]
+_EDITED_DDL = ", n_tokens_before long, n_pretokens_before long, n_encoded_again long"
 
 
-def counts_after_edits(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """One row per row of docs: (id_col, n_tokens before and n_tokens_after all edits, n_pretokens before, n_encoded_again:
-    pre-tokens that the edits had encoded).
+def _row(i: int | None, tree: TokenTree) -> tuple:
+    flat = lambda parts: [x for p in parts for x in p]
+    return i, tree.text(), tree.n_tokens, [len(p) for p in flat(tree.leaves)], flat(tree.counts), list(map(len, tree.leaves))
+
+
+_EDITS_DDL = "array<struct<start: bigint, length: bigint, replacement: string>>"
+_EDITS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("replacement", pa.string())]))
+
+
+def token_trees(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+    """One row per row of docs, a tree to keep: (id_col, text, n_tokens, lengths and counts: characters and tokens of each
+    pre-token, leaves: pre-tokens of each leaf), and edits if edits_col is given, for edit_trees().
+
+    A null text is an empty one, with no pre-tokens. Very long texts are one tree; a pre-token is counted whole whatever its
+    length. Equal texts have equal trees. Rows that repeat have a tree each, a null id stays; other columns are ignored,
+    whatever their names. An empty table gives no rows.
+    """
+    shared.small_batches(docs.sparkSession)
+    out = pa.schema([*_TREE, pa.field("edits", _EDITS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = counter(path, pattern)
+        for batch in batches:
+            for a, z in slices(batch, 1):
+                rows = [_row(i, TokenTree.of(text or "", tool)) for i, text in zip(*(c.slice(a, z - a).to_pylist() for c in batch.columns[:2]))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*rows), _TREE)), batch.column(2).slice(a, z - a).cast(_EDITS)], schema=out)
+        shared.give_back()
+
+    edits = (F.col(edits_col) if edits_col else F.lit(None)).cast(_EDITS_DDL).alias("edits")
+    trees = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), edits).mapInArrow(run, f"{_TREE_DDL}, edits {_EDITS_DDL}")
+    return (trees if edits_col else trees.drop("edits")).withColumnRenamed("id", id_col)
+
+
+def edit_trees(trees: DataFrame, path: str, pattern: str, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
+    """Rows of token_trees() with edits, as rows of the same kind after all edits, and (n_tokens_before, n_pretokens_before,
+    n_encoded_again: pre-tokens whose tokens the edits had counted).
 
     edits_col: array<struct<start, length, replacement>>, applied in order, each to the text that the one before left; places
-    count characters from 0, and what lies outside the text is cut to it. A null text is an empty one; null edits are none, and a
-    null in an edit is 0 or empty. Rows that repeat are counted each; other columns are ignored.
+    count characters from 0, and what lies outside the text is cut to it. Null edits are none, and a null in an edit is 0 or
+    empty. Edits of one place take effect in their order. Texts without edits are passed on as they are. Other columns are ignored.
     """
+    shared.small_batches(trees.sparkSession)
+    out = pa.schema([*_TREE, *_EDITED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = counter(path, pattern)
         for batch in batches:
             for a, z in slices(batch, 1):
                 rows = []
-                for i, text, edits in zip(*(c.slice(a, z - a).to_pylist() for c in batch.columns)):
-                    tree = TokenTree(text or "", tool)
-                    before, n = tree.n_tokens, sum(map(len, tree.leaves))
-                    for e in edits or []:
+                for i, text, n, lengths, counts, leaves, edits in zip(*(c.slice(a, z - a).to_pylist() for c in batch.columns)):
+                    if not any(edits or []):
+                        rows.append((i, text, n, lengths, counts, leaves, n, len(lengths), 0))
+                        continue
+                    at, pieces = 0, []
+                    for size in lengths:
+                        pieces.append(text[at : at + size])
+                        at += size
+                    tree = TokenTree(pieces, counts, tool, leaves)
+                    for e in edits:
                         if e:
                             tree.edit(e["start"] or 0, e["length"] or 0, e["replacement"] or "")
-                    rows.append((i, before, tree.n_tokens, n, tree.encoded))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _OUT)], schema=_OUT)
+                    rows.append((*_row(i, tree), n, len(lengths), tree.encoded))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+        shared.give_back()
 
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast("array<struct<start: bigint, length: bigint, replacement: string>>").alias("edits"))
-    return wanted.mapInArrow(run, "id long, n_tokens long, n_tokens_after long, n_pretokens long, n_encoded_again long").withColumnRenamed("id", id_col)
+    edits = F.col(edits_col).cast(_EDITS_DDL).alias("edits")
+    return trees.select(F.col(id_col).cast("long").alias("id"), *_TREE.names[1:], edits).mapInArrow(run, _TREE_DDL + _EDITED_DDL).withColumnRenamed("id", id_col)
+
+
+def counts_after_edits(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """One row per row of docs: (id_col, n_tokens before and n_tokens_after all edits, n_pretokens before, n_encoded_again).
+
+    token_trees() written to the shared folder, then edit_trees() over what was written; see there.
+    """
+    trees, _ = shared.stash(token_trees(docs, path, pattern, id_col, text_col, edits_col).withColumnRenamed(id_col, "id"), "trees")
+    done = edit_trees(trees, path, pattern, "id", "edits")
+    return done.select(F.col("id").alias(id_col), F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), F.col("n_pretokens_before").alias("n_pretokens"), "n_encoded_again")
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
