@@ -3,15 +3,17 @@
 Documents and benchmark items are compared as words of letters and digits, A-Z in lower case. Runs of five words that a
 document shares with an item are seeds, joined by their hash; items of fewer words have one seed, all their words. For each
 document and item with a seed in common, tiles are marked: the longest run of unmarked words that both hold, again and again
-down to the length of a seed, whatever the order of the passages. The share of an item's words under tiles is its coverage.
+down to the length of a seed, whatever the order of the passages. Each pass finds the greatest length that has a match by
+hashes of all unmarked runs of a length, and marks all its matches. Space is linear in the words of both, however often a word
+repeats. The share of an item's words under tiles is its coverage.
 
 The benchmark is the small side: its seeds are broadcast in parts of a checked size, one pass over the documents each, and
-documents are never shuffled, so no passage is hot however many documents hold it.
+documents are never shuffled, so no passage is hot however many documents hold it. Where there are several parts, what one of
+them found is written before the next is broadcast, so one part is held at a time.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,61 +34,105 @@ class Seeds:
     def __init__(self, ids: list[int], texts: list[str], width: int):
         _, _, cuts, hashes = words_of(pa.array(texts, pa.string()), LETTER_WORDS)
         self.ids, self.words = ids, [hashes[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
-        self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         found: dict[int, list] = {}
         for n, w in enumerate(self.words):
             if len(w):
-                own = shingles_of(w, width)
-                found.setdefault(min(len(w), width), []).append((own, np.full(len(own), n), np.arange(len(own))))
+                own = np.unique(shingles_of(w, width))
+                found.setdefault(min(len(w), width), []).append((own, np.full(len(own), n)))
         for size, parts in found.items():
-            seeds, items, places = (np.concatenate(p) for p in zip(*parts))
+            seeds, items = (np.concatenate(p) for p in zip(*parts))
             order = np.argsort(seeds, kind="stable")
-            self.by_width[size] = seeds[order], items[order], places[order]
+            self.by_width[size] = seeds[order], items[order]
 
-    def matches(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in hashes, item, place in item) of all seeds of this size."""
-        seeds, items, places = self.by_width[size]
-        none = np.zeros(0, np.int64)
+    def places(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        """Where in hashes seeds of this size stand."""
+        seeds = self.by_width[size][0]
         if len(hashes) < size:
-            return none, none, none
+            return np.zeros(0, np.int64)
         own = shingles_of(hashes, size)
         low = np.searchsorted(seeds, own)
-        at = np.flatnonzero(seeds[np.minimum(low, len(seeds) - 1)] == own)
-        high = np.searchsorted(seeds, own[at], side="right")
-        each = high - low[at]
-        upto = np.cumsum(each)
-        take = np.repeat(low[at] - (upto - each), each) + np.arange(int(upto[-1]) if len(upto) else 0)
-        return np.repeat(at, each), items[take], places[take]
-
-
-def tiles(doc: np.ndarray, place: np.ndarray, size: int, item_words: int) -> tuple[int, int]:
-    """Words of the item under tiles, and the number of tiles, from seeds at doc[i], item[place[i]]."""
-    order = np.lexsort((place, doc - place))
-    doc, place = doc[order], place[order]
-    ends = np.flatnonzero((np.diff(doc - place) != 0) | (np.diff(place) != 1))
-    starts = np.concatenate([[0], ends + 1])
-    ends = np.concatenate([ends, [len(doc) - 1]])
-    heap = [(-int(place[z] - place[a] + size), int(doc[a]), int(place[a])) for a, z in zip(starts, ends)]
-    heapq.heapify(heap)
-    in_doc: set[int] = set()
-    in_item = np.zeros(item_words, bool)
-    count = 0
-    while heap:
-        length, d, p = heapq.heappop(heap)
-        length = -length
-        free = [d + k not in in_doc and not in_item[p + k] for k in range(length)]
-        if all(free):
-            in_doc.update(range(d, d + length))
-            in_item[p : p + length] = True
-            count += 1
-            continue
-        a = 0
-        for k in range(length + 1):  # what is left in pieces takes its turn later
-            if k == length or not free[k]:
-                if k - a >= size:
-                    heapq.heappush(heap, (-(k - a), d + a, p + a))
-                a = k + 1
-    return int(in_item.sum()), count
+        return np.flatnonzero(seeds[np.minimum(low, len(seeds) - 1)] == own)
+
+    def items(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        """Items that share a seed of this size."""
+        at = self.places(hashes, size)
+        if not len(at):
+            return at
+        seeds, items = self.by_width[size]
+        own = np.unique(shingles_of(hashes, size)[at])
+        low, high = np.searchsorted(seeds, own), np.searchsorted(seeds, own, side="right")
+        return np.unique(np.concatenate([items[a:z] for a, z in zip(low, high)]))
+
+
+_BASE = np.uint64(0x9E6C63D0676A9A99)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+class _Runs:
+    """Hashes of runs of words of one text, of any length, and which words are marked."""
+
+    def __init__(self, words: np.ndarray, unmarked: np.ndarray):
+        self.free, n = unmarked.copy(), len(words)
+        up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x)]), dtype=np.uint64) for x in (_BASE, _INVERSE))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:n], dtype=np.uint64)])
+
+    def of(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the unmarked runs of this length, and their hashes."""
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(taken[length:] == taken[: len(taken) - length])
+        return at, (self.sums[at + length] - self.sums[at]) * self.down[at]
+
+
+def _covered(at: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Words under runs of a size that begin at some places."""
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, at, 1)
+    np.add.at(edges, at + size, -1)
+    return np.cumsum(edges)[:n] > 0
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, size: int) -> tuple[int, int]:
+    """Words of the item under tiles, and the number of tiles; doc and item are hashes of words.
+
+    Of the longest matches, the first in the document is marked first, with its first unmarked place in the item.
+    """
+    if min(len(doc), len(item)) < size:
+        return 0, 0
+    ours, theirs = shingles_of(doc, size), shingles_of(item, size)
+    near = np.flatnonzero(np.isin(ours, theirs))
+    if not len(near):
+        return 0, 0
+    # Words beside these cannot be in a match; they are left out, and a gap stays between what is left.
+    marked = _covered(near, size, len(doc))
+    keep = marked.copy()
+    keep[1:] |= marked[:-1]
+    a, b = _Runs(doc[keep], marked[keep]), _Runs(item, _covered(np.flatnonzero(np.isin(theirs, ours)), size, len(item)))
+    shared_words, count, top = int(b.free.sum()), 0, min(len(a.free), len(item))
+    while True:
+        low, high = size - 1, top  # the greatest length with a match
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if np.isin(a.of(mid)[1], b.of(mid)[1]).any() else (low, mid - 1)
+        if low < size:
+            return shared_words - int(b.free.sum()), count
+        top = length = low
+        (starts, ours), (places, theirs) = a.of(length), b.of(length)
+        hit = np.isin(ours, theirs)
+        by_hash: dict[int, list[int]] = {}
+        for p, h in zip(places[::-1].tolist(), theirs[::-1].tolist()):
+            by_hash.setdefault(h, []).append(p)
+        end = -1
+        for d, h in zip(starts[hit].tolist(), ours[hit].tolist()):
+            if d < end:
+                continue
+            waiting = by_hash[h]
+            while waiting and not b.free[waiting[-1] : waiting[-1] + length].all():
+                waiting.pop()
+            if waiting:
+                p = waiting.pop()
+                a.free[d : d + length] = b.free[p : p + length] = False
+                count, end = count + 1, d + length
 
 
 _ITEMS = "array<struct<item_id: bigint, coverage: double, tiles: int>>"
@@ -97,34 +143,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, id_col:
     words (or all their words, if fewer), in the order of item_id.
 
     Null and empty texts share nothing, on either side; items without words are never found. Items that repeat are found
-    once each, as are rows of docs. An empty benchmark or table of documents is no error. All columns of docs stay; a
-    column named items is replaced.
+    once each, as are rows of docs. Very long texts are compared whole, in space linear in their words. Of equally long matches
+    the first in the document counts, then the first in the item. An empty benchmark or table of documents is no error. All
+    columns of docs stay; a column named items, in any case of its letters, is replaced.
     """
     spark = docs.sparkSession
+    shared.small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-total // part_chars))
-    names = [c for c in docs.columns if c != "items"]
+    names = [c for c in docs.columns if c.lower() != "items"]
     out = docs.select(*names, F.array().cast(_ITEMS).alias("items"))
-    text_at = names.index(text_col)
+    text_at = [c.lower() for c in names].index(text_col.lower())
+    before = None
     for k in range(parts):
         # A part holds about part_chars characters; that is what is collected and broadcast at a time.
         rows = (items if parts == 1 else items.where(F.expr(f"pmod(xxhash64(item, text), {parts}) = {k}"))).orderBy("item", "text").collect()
         sent = spark.sparkContext.broadcast(Seeds([r.item for r in rows], [r.text for r in rows], width))
         out = out.mapInArrow(_finder(sent, width, text_at, len(names)), out.schema)
+        if k < parts - 1:
+            out, path = shared.stash(out, "parts")
+            sent.destroy()
+            if before:
+                shared.forget(spark, before)
+            before = path
     return out.withColumn("items", F.array_sort("items"))
 
 
 def _finder(sent, width: int, text_at: int, items_at: int):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32())]))
 
-    def found_in(seeds: Seeds, hashes: np.ndarray, hits: dict[int, bool]) -> list[dict]:
+    def found_in(seeds: Seeds, hashes: np.ndarray, sizes: list[int]) -> list[dict]:
         out = []
-        for size in hits:
-            at, item, place = seeds.matches(hashes, size)
-            for n in np.unique(item).tolist():
-                mine = item == n
-                words, count = tiles(at[mine], place[mine], size, len(seeds.words[n]))
+        for size in sizes:
+            for n in seeds.items(hashes, size).tolist():
+                words, count = tiles(hashes, seeds.words[n], size)
                 out.append({"item_id": seeds.ids[n], "coverage": words / len(seeds.words[n]), "tiles": count})
         return out
 
@@ -134,12 +187,12 @@ def _finder(sent, width: int, text_at: int, items_at: int):
             for a, z in slices(batch, text_at):
                 rows = batch.slice(a, z - a)
                 _, _, cuts, hashes = words_of(rows.column(text_at), LETTER_WORDS)
-                hits: dict[int, dict[int, bool]] = {}
+                hits: dict[int, list[int]] = {}
                 for size in seeds.by_width:
                     # Runs that cross from one text into the next are looked up again text by text.
-                    at, _, _ = seeds.matches(hashes, size)
+                    at = seeds.places(hashes, size)
                     for n in np.unique(np.searchsorted(cuts, at, side="right") - 1).tolist():
-                        hits.setdefault(n, {})[size] = True
+                        hits.setdefault(n, []).append(size)
                 items = rows.column(items_at)
                 if hits:
                     lists = items.to_pylist()

@@ -77,6 +77,64 @@ def test_decontamination_query(spark, small, texts):
         assert whole <= set(got[i].item_ids) and got[i].contaminated == bool(got[i].item_ids)
 
 
+def _plain_tiles(doc, item, size):
+    """The definition, step by step: of all longest runs of unmarked words, the first in doc, then in item."""
+    free_d, free_i, count = [True] * len(doc), [True] * len(item), 0
+    while True:
+        best = (0, 0, 0)
+        for d in range(len(doc)):
+            for p in range(len(item)):
+                n = 0
+                while d + n < len(doc) and p + n < len(item) and doc[d + n] == item[p + n] and free_d[d + n] and free_i[p + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, d, p)
+        n, d, p = best
+        if n < size:
+            return len(item) - sum(free_i), count
+        free_d[d : d + n] = free_i[p : p + n] = [False] * n
+        count += 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), max_size=25), st.integers(1, 5))
+def test_tiling_is_greedy_string_tiling(doc, item, size):
+    from credsieve.llm.decontamination import tiles
+    from credsieve.llm.words import mix
+
+    hashes = mix(np.arange(1, 5, dtype=np.uint64))
+    assert tiles(hashes[np.array(doc, int)], hashes[np.array(item, int)], size) == (_plain_tiles(doc, item, size) if item else (0, 0))
+
+
+def test_tiling_of_repeated_words_takes_little_space(spark):
+    import tracemalloc
+
+    from credsieve.llm.decontamination import tiles
+
+    doc, item = np.full(20000, 7, np.uint64), np.full(3000, 7, np.uint64)
+    tracemalloc.start()
+    assert tiles(doc, item, 5) == (3000, 1)
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+
+
+def test_coverage_is_that_of_plain_tiling(spark, small, texts):
+    from credsieve.llm.decontamination import contamination
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+    bench = spark.read.parquet(f"{small}/benchmark.parquet").limit(20)
+    items = {r.item_id: words(r.text) for r in bench.collect()}
+    short = {i: words(t) for i, t in texts.items() if len(t) < 900}
+    docs = spark.createDataFrame([(i, texts[i]) for i in short], "doc_id long, text string")
+    some = 0
+    for r in contamination(docs, bench).collect():
+        for i in r["items"]:
+            covered, n = _plain_tiles(short[r.doc_id], items[i["item_id"]], min(5, len(items[i["item_id"]])))
+            assert (i["coverage"], i["tiles"]) == (covered / len(items[i["item_id"]]), n)
+            some += 1
+    assert some
+
+
 def test_license_query(spark, small, texts):
     got = {r.doc_id: r for r in QUERIES["op5_licenses"](spark, small).collect()}
     for i, t in texts.items():
