@@ -152,9 +152,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 5, id_col:
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-total // part_chars))
-    names = [c for c in docs.columns if c.lower() != "items"]
+    names = shared.without(docs.columns, "items")
     out = docs.select(*names, F.array().cast(_ITEMS).alias("items"))
-    text_at = [c.lower() for c in names].index(text_col.lower())
+    text_at = shared.place(names, text_col)
     before = None
     for k in range(parts):
         # A part holds about part_chars characters; that is what is collected and broadcast at a time.

@@ -164,7 +164,11 @@ def _remainder(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, how: Training = Training(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from rows whose id's CRC-32 is no multiple of 5 and whose text and language aren't null."""
+    """A model from rows whose id's CRC-32 is no multiple of 5 and whose id, text and language aren't null.
+
+    Empty texts and very long ones count like all others; rows that repeat count each. No rows give a model of no language.
+    """
+    shared.small_batches(docs.sparkSession)
     rows = docs.where((_remainder(id_col) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -192,11 +196,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """docs with columns lang_pred (a language of the model, or und) and score (its calibrated probability, 0 for und).
 
     und is what is said of texts that are null or without letters, and of all texts if the model knows no language. Ties
-    go to the first language in order. All columns and rows of docs stay; columns named lang_pred or score are replaced.
+    go to the first language in order. Very long texts are read whole, a few MB of texts or one text at a time. Rows that repeat
+    get the same answer each; an empty table gives no rows. All columns and rows of docs stay; columns named lang_pred or score,
+    in any case of their letters, are replaced.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    shared.small_batches(docs.sparkSession)
+    names = shared.without(docs.columns, "lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    text_at = names.index(text_col)
+    text_at = shared.place(names, text_col)
     typed = docs.select(*names, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ whole notice with at most k errors, best match first, and report the span and it
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,9 +110,12 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, str]] | None = None,
     last_word, errors, score>>).
 
     base has all places where the words of a base phrase stand one after the other (word: the first one's number, from 0), in
-    the order of the text; notices the spans of words within the errors allowed of a notice, the best of those that overlap; score is 1 - errors / length. Null and empty texts have no words. Rows that repeat are scanned each; a null id stays.
-    Other columns are ignored.
+    the order of the text; notices the spans of words within the errors allowed of a notice, the best of those that overlap; score
+    is 1 - errors / length. Of overlapping spans with equal scores the first by label, then by place counts. Null and empty texts
+    have no words. Very long texts are searched whole, in time that grows with their length and number of notices. Rows that
+    repeat are scanned each; a null id stays. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
+    shared.small_batches(docs.sparkSession)
     wanted = tuple(notices if notices is not None else NOTICES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,17 +167,23 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, str]] | None = None,
 
 def _spans(scanner: Scanner, text: str, seen: set[tuple[int, int]]) -> list[dict]:
     found: dict[tuple[str, int, int], tuple[int, float]] = {}
+    blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
     for n, about in sorted(seen):
         hit = scanner.confirm(text, n, about)
         if hit:
             notice, label, _ = scanner.notices[n]
             a, z, errors = hit
-            first = text.count(" ", 0, a)
+            first = int(np.searchsorted(blanks, a))
             key = (label, first, first + text[a:z].strip().count(" "))
             found[key] = min(found.get(key, (errors, 0.0)), (errors, 1 - errors / len(notice)), key=lambda x: (x[0], -x[1]))
     best: list[dict] = []
+    starts: list[int] = []  # of what is taken, which never overlaps
+    ends: list[int] = []
     for (label, first, last), (errors, score) in sorted(found.items(), key=lambda x: (-x[1][1], x[0])):
-        if not any(b["first_word"] <= last and first <= b["last_word"] for b in best):
+        at = bisect(starts, last)
+        if not at or ends[at - 1] < first:
+            starts.insert(at, first)
+            ends.insert(at, last)
             best.append({"label": label, "first_word": first, "last_word": last, "errors": errors, "score": score})
     return sorted(best, key=lambda b: (b["first_word"], b["label"]))
 

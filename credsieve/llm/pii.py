@@ -33,12 +33,12 @@ FORMS = {
 PATTERN = "|".join(FORMS.values())
 
 
-def _hash(key: str, tweak: Column, i: Column, x: Column) -> Column:
+def _hash(key: Column, tweak: Column, i: Column, x: Column) -> Column:
     """60 bits."""
-    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(key), tweak, i.cast("string"), x.cast("string")), 256), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", key, tweak, i.cast("string"), x.cast("string")), 256), 1, 15), 16, 10).cast("long")
 
 
-def _feistel(key: str, tweak: Column, a: Column, b: Column, mod_a: Column, mod_b: Column) -> Column:
+def _feistel(key: Column, tweak: Column, a: Column, b: Column, mod_a: Column, mod_b: Column) -> Column:
     """The permuted pair as a struct (a, b); each half stays below its modulus."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
@@ -63,7 +63,7 @@ def _pad(x: Column, n: Column) -> Column:
     return F.lpad(x.cast("string"), n, F.lit("0"))
 
 
-def _digits(key: str, tweak: Column, d: Column) -> Column:
+def _digits(key: Column, tweak: Column, d: Column) -> Column:
     """A string of 2 to 30 digits, permuted among those of its length."""
     n = F.length(d)
     u = F.floor(n / 2).cast("int")
@@ -100,7 +100,7 @@ def _luhn(d: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda s, x: s + F.when(x > 9, x - 9).otherwise(x))
 
 
-def _card(key: str, m: Column) -> Column:
+def _card(key: Column, m: Column) -> Column:
     def swap(d: Column) -> Column:
         n = F.length(d)
         kept = F.substring(d, 1, 1)
@@ -111,7 +111,7 @@ def _card(key: str, m: Column) -> Column:
     return _let(_only(m, "0-9"), swap)
 
 
-def _phone(key: str, m: Column) -> Column:
+def _phone(key: Column, m: Column) -> Column:
     def national(d: Column) -> Column:
         """Ten digits. Numbers with a valid area and exchange (200 and up) stay so; the others keep to themselves."""
         area, middle, line = (F.substring(d, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
@@ -141,7 +141,7 @@ def _phone(key: str, m: Column) -> Column:
     return _let(_only(m, "0-9"), swap)
 
 
-def _date(key: str, m: Column) -> Column:
+def _date(key: Column, m: Column) -> Column:
     def put(day: Column) -> Column:
         first = F.make_date(F.floor(F.year(day) / 100).cast("int") * 100, F.lit(1), F.lit(1))
         long = F.floor(F.year(day) / 100) % 4 == 0
@@ -164,7 +164,7 @@ def _date(key: str, m: Column) -> Column:
     return _let(day.cast("date"), lambda x: F.when(x.isNotNull() & (F.year(x) >= 100), put(x)).otherwise(m))
 
 
-def _ip(key: str, m: Column) -> Column:
+def _ip(key: Column, m: Column) -> Column:
     def swap(o: Column) -> Column:
         done = _let(
             _feistel(key, F.lit("ip"), o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536)),
@@ -175,7 +175,7 @@ def _ip(key: str, m: Column) -> Column:
     return _let(F.transform(F.split(m, r"\."), lambda x: x.cast("long")), swap)
 
 
-def _ssn(key: str, m: Column) -> Column:
+def _ssn(key: Column, m: Column) -> Column:
     area, group, serial = (F.substring(m, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     # Areas 1 to 899 but 666, groups from 1, serials from 1.
     place = F.when(area > 666, area - 2).otherwise(area - 1)
@@ -193,7 +193,7 @@ def _mod97(x: Column) -> Column:
     return F.aggregate(_chars(x), F.lit(0), lambda s, c: F.when(c.rlike("[0-9]"), (s * 10 + c.try_cast("int")) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97))
 
 
-def _iban(key: str, m: Column) -> Column:
+def _iban(key: Column, m: Column) -> Column:
     def swap(x: Column) -> Column:
         body, country = F.substring(x, F.lit(5), F.length(x) - 4), F.substring(x, 1, 2)
         d = _only(body, "0-9")
@@ -204,7 +204,7 @@ def _iban(key: str, m: Column) -> Column:
     return _let(_only(m, "A-Z0-9"), swap)
 
 
-def _mail(key: str, m: Column) -> Column:
+def _mail(key: Column, m: Column) -> Column:
     """The name before the @ is permuted, the host stays."""
     name = F.substring_index(m, "@", 1)
     host = F.substring(m, F.length(name) + 1, F.length(m))
@@ -222,7 +222,7 @@ def _mail(key: str, m: Column) -> Column:
         start = F.struct(F.substring(name, F.lit(1), u).alias("a"), F.substring(name, u + 1, n).alias("b"))
 
         def turn(s: Column, i: Column) -> Column:
-            stream = lambda x: F.sha2(F.concat_ws(":", F.lit(key), F.lit("mail"), n.cast("string"), i.cast("string"), x), 256)
+            stream = lambda x: F.sha2(F.concat_ws(":", key, F.lit("mail"), n.cast("string"), i.cast("string"), x), 256)
             return F.when(i % 2 == 0, F.struct(shift(s["a"], stream(s["b"])).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), shift(s["b"], stream(s["a"])).alias("b")))
 
         done = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
@@ -245,31 +245,31 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     Looked for: mail addresses, IBANs (right check digits), dates (real ones), IPv4 addresses (octets to 255), US social
     security numbers (assignable ones), card numbers (Luhn) and telephone numbers. What has the form but isn't valid stays.
     Null texts stay null, empty ones empty, both with an empty pii; all other columns, repeated rows and the whole rest of
-    the text stay as they are. A column named pii in docs is replaced.
+    the text stay as they are. Very long texts are searched whole. Where two forms begin at one place, the first of FORMS
+    counts. An empty table gives no rows. A column named pii, in any case of its letters, is replaced. The key is in no plan.
     """
     text = F.col(text_col)
     sorted_out = lambda m: F.struct(_kind(m).alias("kind"), m.alias("was"))
-    names = [c for c in docs.columns if c != "pii"]
-    held = "_pii"
-    while any(c.lower() in (held, f"{held}_done") for c in names):
-        held += "_"
+    names = shared.without(docs.columns, "pii")
+    held, done, key_name = shared.fresh(names, "pii_found", "pii_done", "pii_key")
     hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    found = docs.select(*names, F.transform(hits, sorted_out).alias(held))
+    # A subquery over a row of its own: plans, the UI and event logs show that there is a key, and not what it is.
+    hidden = docs.sparkSession.sql("select * from values (:key) as t(key)", args={"key": key}).scalar()
+    found = docs.select(*names, F.transform(hits, sorted_out).alias(held), hidden.alias(key_name))
 
     def replaced(h: Column) -> Column:
         by = {"email": _mail, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
         out = F.lit(None).cast("string")
         for kind, f in by.items():
-            out = F.when(h["kind"] == kind, f(key, h["was"])).otherwise(out)
+            out = F.when(h["kind"] == kind, f(F.col(key_name), h["was"])).otherwise(out)
         return F.struct(h["kind"].alias("kind"), h["was"].alias("was"), out.alias("pseudonym"))
 
-    done = f"{held}_done"
     found = found.withColumn(done, F.when(F.size(held) > 0, F.transform(held, replaced)))
     pieces = F.split(text, PATTERN, -1)
     whole = F.array_join(F.zip_with(pieces, F.col(done), lambda p, h: F.concat(p, F.coalesce(h["pseudonym"], F.lit("")))), "")
     new = F.when(F.col(done).isNotNull(), whole).otherwise(text)
     pii = F.transform(F.filter(F.coalesce(done, F.array()), lambda h: h["was"] != h["pseudonym"]), lambda h: F.struct(h["kind"].alias("kind"), h["pseudonym"].alias("pseudonym")))
-    return found.select(*(new.alias(c) if c == text_col else F.col(c) for c in names), pii.alias("pii"))
+    return found.select(*(new.alias(c) if c.lower() == text_col.lower() else F.col(c) for c in names), pii.alias("pii"))
 
 
 #: Of the query and the pipeline; a production run passes a secret of its own.

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Cells that number the rows of a shard: rows go to one by a hash of their id, and so are numbered in parallel.
-CELLS = 4096
+#: Cells that number the rows of a shard: rows go to one by a hash of their id, and so are numbered in parallel. What is
+#: broadcast is one number a cell, so there are fewer of them where shards are many.
+CELLS, MOST_CELLS = 4096, 1_000_000
 #: Ranges split in a round, each in 256.
 SPLIT = 1024
 _NO_TEXT = "0" * 64
@@ -135,8 +136,10 @@ def shard_documents(docs: DataFrame, shards: int = 24, overhead: int = 8, id_col
     rows without text are a group, too. Groups are in the order of group_key, the text's SHA-256, and each shard holds a
     run of them; the largest shard is as small as any such cut allows (a group larger than a fair share fills its shard alone
     if that is best). law is `bytes`. slot numbers a shard's rows from 0 without gaps, in the order of a hash of the id,
-    then the id and text; rows that repeat get slots of their own. text_crc32 is null without text. Fewer groups than shards leave
-    shards empty. An empty table gives no rows; other columns are ignored.
+    then the id and text; rows that repeat get slots of their own. text_crc32 is null without text, and 0 for an empty one, whose
+    group is another; both have the size overhead. Texts of equal digests alone are ties, and equal texts. Very long texts are
+    groups like others. Fewer groups than shards leave shards empty. An empty table gives no rows; other columns are ignored,
+    whatever their names.
     """
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
@@ -151,8 +154,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, overhead: int = 8, id_col
     _, firsts = minimax_cuts(groups, shards)
     shared.forget(spark, groups_path)
     shard = sum((F.when(F.col("key") >= k, 1).otherwise(0) for k in firsts), F.lit(0))
-    placed = base.withColumn("shard", shard.cast("int")).withColumn("cell", F.expr(f"cast(pmod(xxhash64(id, key), {CELLS}) as int)"))
-    # Rows before each cell: at most shards * CELLS numbers.
+    per_shard = max(1, min(CELLS, MOST_CELLS // shards))
+    placed = base.withColumn("shard", shard.cast("int")).withColumn("cell", F.expr(f"cast(pmod(xxhash64(id, key), {per_shard}) as int)"))
+    # Rows before each cell: at most MOST_CELLS numbers, or one for each shard.
     cells = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select("shard", "cell", F.coalesce(before, F.lit(0)).alias("before"))

@@ -46,6 +46,25 @@ def buckets(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def without(columns: list[str], *replaced: str) -> list[str]:
+    """The columns but those of these names, in any case of their letters, as Spark reads names."""
+    gone = {c.lower() for c in replaced}
+    return [c for c in columns if c.lower() not in gone]
+
+
+def place(columns: list[str], name: str) -> int:
+    """Where a column stands."""
+    return [c.lower() for c in columns].index(name.lower())
+
+
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Names for helper columns that none of the columns has."""
+    taken, mark = {c.lower() for c in columns}, "_"
+    while any(f"{mark}{w}" in taken for w in wanted):
+        mark += "_"
+    return [f"{mark}{w}" for w in wanted]
+
+
 #: Bytes of an Arrow batch between the JVM and Python; one row may be larger.
 BATCH_BYTES = 4 << 20
 

@@ -36,11 +36,12 @@ def validity(entries: DataFrame) -> DataFrame:
     return events.select("pattern", "category", "action", F.col("at").alias("since"), later.alias("until")).where("action = 'add'").drop("action")
 
 
-def keys(url: Column, depth: Column) -> Column:
-    """What entries of up to `depth` path parts can match the URL; null for none that has a host."""
+def keys(url: Column, depth: Column, labels_of_entries: list[int]) -> Column:
+    """What entries of up to `depth` path parts and hosts of so many labels can match the URL; null for none that has a host."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    sizes = F.filter(F.array(*map(F.lit, labels_of_entries)).cast("array<int>"), lambda n: n <= F.size(labels))
+    suffixes = F.transform(sizes, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     parts = F.filter(F.split(F.lower(F.regexp_extract(url, PATH, 1)), "/"), lambda p: p != "")
     starts = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), depth)), lambda i: F.array_join(F.concat(F.array(F.lit("")), F.slice(parts, F.lit(1), i)), "/"))
     return F.when(host != "", F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, p)))))
@@ -50,30 +51,36 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
     """captures with host, categories (of all entries that were valid at the time, sorted), entry (the longest of them, the
     first in order if several) and blocked.
 
-    A null or malformed URL has a null host and isn't blocked; nor is a capture without a time. Rows that repeat are all
-    judged and stay. An empty list blocks nothing. Other columns stay; columns with the new names are replaced.
+    A null, empty or malformed URL has a null host and isn't blocked; nor is a capture without a time. Very long URLs are judged
+    whole, by as many of their parts as the list's entries have. Rows that repeat are all judged and stay. An empty list blocks
+    nothing, an empty table gives no rows. Other columns stay; columns with the new names, in any case of their letters, are
+    replaced.
     """
     spark = captures.sparkSession
-    names = [c for c in captures.columns if c not in ("host", "categories", "entry", "blocked")]
+    names = shared.without(captures.columns, "host", "categories", "entry", "blocked")
     rows = captures.select(*names)
     url, at = F.col(url_col), F.col(time_col)
     intervals, _ = shared.stash(validity(entries), "intervals")
-    offered = rows.where(url.isNotNull() & at.isNotNull()).select(url.alias("_url"), at.alias("_at")).distinct()
-    n, depth = intervals.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0))).first()
-    offered = offered.select("_url", "_at", F.explode(F.array_distinct(keys(F.col("_url"), F.lit(depth)))).alias("pattern"))
+    # Distinct URLs and times, by names that no column of captures has.
+    own = shared.fresh(names, "url", "at", "categories", "entry")
+    judged = rows.where(url.isNotNull() & at.isNotNull()).select(url.alias("url"), at.alias("at")).distinct()
+    labels = F.size(F.split(F.substring_index("pattern", "/", 1), r"\."))
+    n, depth, sizes = intervals.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)), F.array_sort(F.collect_set(labels))).first()
+    # Suffixes of as many labels as no entry has, such as bare top-level domains, are not offered.
+    offered = judged.select("url", "at", F.explode(F.array_distinct(keys(F.col("url"), F.lit(depth), sizes))).alias("pattern"))
     side = F.broadcast(intervals) if n <= MOST_INTERVALS else intervals
-    valid = (F.col("_at") >= F.col("since")) & (F.col("until").isNull() | (F.col("_at") < F.col("until")))
+    valid = (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
     hits = offered.join(side, "pattern").where(valid)
     longest = F.min(F.struct((-F.length("pattern")).alias("l"), F.col("pattern").alias("p")))["p"]
-    found = hits.groupBy("_url", "_at").agg(F.array_sort(F.collect_set("category")).alias("categories"), longest.alias("entry"))
-    out = rows.join(found, (url == F.col("_url")) & (at == F.col("_at")), "left")
+    found = hits.groupBy("url", "at").agg(F.array_sort(F.collect_set("category")).alias("categories"), longest.alias("entry")).toDF(*own)
+    out = rows.join(found, (url == F.col(own[0])) & (at == F.col(own[1])), "left")
     host = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
     return out.select(
         *names,
         F.when(host != "", host).alias("host"),
-        F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
-        "entry",
-        F.col("entry").isNotNull().alias("blocked"),
+        F.coalesce(own[2], F.array().cast("array<string>")).alias("categories"),
+        F.col(own[3]).alias("entry"),
+        F.col(own[3]).isNotNull().alias("blocked"),
     )
 
 

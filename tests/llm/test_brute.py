@@ -1,6 +1,7 @@
 """Queries and operators against plain versions of themselves, held-out accuracy, and properties."""
 
 import collections
+import datetime
 import hashlib
 import re
 import sys
@@ -186,6 +187,160 @@ def test_pii_is_linked_valid_and_distinct(spark):
     assert sum(r.text == other[r.kind, r.doc_id] for r in got) < 20
 
 
+def _plain_pseudonym(key, kind, m):
+    """The definition in plain Python: a Feistel network within the format, or m itself where it isn't valid."""
+    sha = lambda *parts: hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()
+
+    def feistel(tweak, a, b, mod_a, mod_b):
+        for i in range(10):
+            if i % 2 == 0:
+                a = (a + int(sha(key, tweak, i, b)[:15], 16)) % mod_a
+            else:
+                b = (b + int(sha(key, tweak, i, a)[:15], 16)) % mod_b
+        return a, b
+
+    def digits(tweak, d):
+        u = len(d) // 2
+        a, b = feistel(f"{tweak}{len(d)}", int(d[:u]), int(d[u:]), 10**u, 10 ** (len(d) - u))
+        return f"{a:0{u}d}{b:0{len(d) - u}d}"
+
+    def fill(form, d):
+        d = iter(d)
+        return "".join(next(d) if c in "0123456789" else c for c in form)
+
+    luhn = lambda d: sum(x - 9 if x > 9 else x for x in (int(c) * (1 + k % 2) for k, c in enumerate(reversed(d)))) % 10
+    only = re.sub("[^0-9]", "", m)
+    if kind == "card":
+        if luhn(only):
+            return m
+        body = only[0] + digits("card" + only[0], only[1:-1])
+        return fill(m, body + str((10 - luhn(body + "0")) % 10))
+    if kind == "ip":
+        o = m.split(".")
+        if any(int(x) > 255 or (len(x) > 1 and x[0] == "0") for x in o):
+            return m
+        a, b = feistel("ip", int(o[0]) * 256 + int(o[1]), int(o[2]) * 256 + int(o[3]), 65536, 65536)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "ssn":
+        area, group, serial = map(int, m.split("-"))
+        if not 1 <= area <= 899 or area == 666 or not group or not serial:
+            return m
+        a, b = feistel("ssn", (area - 2 if area > 666 else area - 1) * 99 + group - 1, serial - 1, 898 * 99, 9999)
+        p = a // 99
+        return f"{p + 2 if p >= 665 else p + 1:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+    if kind == "date":
+        n = list(map(int, re.findall(r"\d+", m)))
+        y, mo, d = n if len(m.split(m[4])[0]) == 4 and m[4] in "-/" else (n[2], n[1], n[0]) if "." in m else (n[2], n[0], n[1])
+        try:
+            day = datetime.date(y, mo, d)
+        except ValueError:
+            return m
+        if y < 100:
+            return m
+        first, low = datetime.date(y // 100 * 100, 1, 1), 487 if y // 100 % 4 == 0 else 397
+        k = (day - first).days
+        a, b = feistel(f"date{first.year}", k // low, k % low, 75 if low == 487 else 92, low)
+        new = first + datetime.timedelta(a * low + b)
+        return fill(m, new.strftime("%Y%m%d" if re.match(r"\d{4}", m) else "%d%m%Y" if "." in m else "%m%d%Y"))
+    if kind == "phone":
+
+        def national(d):
+            area, middle, line = int(d[:3]), int(d[3:6]), int(d[6:])
+            if area < 200:
+                a, b = feistel("phone-area", area * 1000 + middle, line, 200000, 10000)
+                return f"{a:06d}{b:04d}"
+            if middle < 200:
+                a, b = feistel("phone-exchange", (area - 200) * 200 + middle, line, 160000, 10000)
+                return f"{a // 200 + 200:03d}{a % 200:03d}{b:04d}"
+            a, b = feistel("phone", (area - 200) * 100 + line // 100, (middle - 200) * 100 + line % 100, 80000, 80000)
+            return f"{a // 100 + 200:03d}{b // 100 + 200:03d}{a % 100:02d}{b % 100:02d}"
+
+        if len(only) == 10 and not m.startswith("+"):
+            return fill(m, national(only))
+        if len(only) == 11 and only[0] == "1":
+            return fill(m, "1" + national(only[1:]))
+        return fill(m, only[:2] + digits("phone+" + only[:2], only[2:]))
+    if kind == "iban":
+        x = re.sub("[^A-Z0-9]", "", m)
+        number = lambda t: int("".join(str(int(c, 36)) for c in t))
+        body = x[4:]
+        held = re.sub("[^0-9]", "", body)
+        if number(body + x[:4]) % 97 != 1 or len(held) < 2:
+            return m
+        new = fill(body, digits("iban" + x[:2] + re.sub("[0-9]", "0", body), held))
+        return fill(m, f"{98 - number(new + x[:2] + '00') % 97:02d}" + re.sub("[^0-9]", "", new))
+    name, at, host = m.partition("@")
+    u = len(name) // 2
+    a, b = name[:u], name[u:]
+
+    def shift(x, stream):
+        out = ""
+        for i, c in enumerate(x):
+            by = int(stream[i * 4 % 64 : i * 4 % 64 + 4], 16) + i
+            low, size = (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (48, 10) if "0" <= c <= "9" else (0, 0)
+            out += chr(low + (ord(c) - low + by) % size) if size else c
+        return out
+
+    for i in range(10):
+        if i % 2 == 0:
+            a = shift(a, sha(key, "mail", len(name), i, b))
+        else:
+            b = shift(b, sha(key, "mail", len(name), i, a))
+    return a + b + at + host
+
+
+def _plain_text(key, text):
+    def kind(m):
+        return next(k for k in ("email", "iban", "date", "ip", "ssn", "card", "phone") if (k == "email") == ("@" in m) and re.fullmatch(re.sub(r"\(\?<!\[[^]]*\]\)|\(\?!\[[^]]*\]\)$|\(\?!\\\.\?\[[^]]*\]\)$", "", pii.FORMS[k]), m))
+
+    return re.sub(pii.PATTERN, lambda m: _plain_pseudonym(key, kind(m[0]), m[0]), text)
+
+
+def test_pii_query_against_a_plain_feistel(spark, small, texts):
+    got = {r.doc_id: r for r in QUERIES["op6_pii"](spark, small).collect()}
+    assert set(got) == set(texts) and sum(r.n_pii for r in got.values()) > 50
+    assert all(got[i].text == _plain_text(pii.DEMO_KEY, t) for i, t in texts.items())
+
+
+def test_pseudonyms_of_all_forms_against_a_plain_feistel(spark):
+    values = ["4111111111111111", "4111 1111 1111 1111", "4111111111111112", "10.0.0.1", "256.1.1.1", "01.2.3.4", "123-45-6789", "666-45-6789", "899-01-0001", "1999-12-31", "2000-02-29", "1900-02-29", "12/31/1999", "31.12.1999", "2024/01/31"]
+    values += ["(212) 555-0100", "+1 (112) 555-0100", "+1 212 155 0100", "+44 20 7946 0958", "+4915112345678", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "GB83WEST12345698765432", "a@b.de", "Ab.C9_d+e@mail.example.org", "x1@y.co"]
+    df = spark.createDataFrame([(k, f"see {v} there") for k, v in enumerate(values)], "doc_id long, text string")
+    for r in pii.pseudonymise(df, "k").collect():
+        assert r.text == _plain_text("k", f"see {values[r.doc_id]} there")
+
+
+def test_language_query_against_a_plain_reading(spark, small, texts):
+    from credsieve.llm import language
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language.train(docs)
+    got = {r.doc_id: r for r in language.identify(docs, model).collect()}
+
+    def bucket(c):
+        one = (ord(c[0]) * 0x9E3779B1) & 0xFFFFFFFF
+        two = ((one ^ ord(c[1])) * 0x85EBCA77) & 0xFFFFFFFF if len(c) > 1 else None
+        h = one if len(c) == 1 else two if len(c) == 2 else (((two ^ (two >> 15)) + ord(c[2])) * 0xC2B2AE3D) & 0xFFFFFFFF
+        return max(1, (((h ^ (h >> 16)) * 0x27D4EB2F) & 0xFFFFFFFF) >> 16)
+
+    for i in sorted(texts)[:60]:
+        t = "".join(c if c.isalpha() else " " for c in texts[i].lower())
+        t = f" {t}  "
+        found = []
+        for k in range(len(t) - 2):
+            if t[k] != " ":
+                found.append(t[k])
+            if t[k : k + 2] != "  ":
+                found.append(t[k : k + 2])
+            if t[k + 1] != " ":
+                found.append(t[k : k + 3])
+        logits = sum(model.table[bucket(g)].astype(float) for g in found) / max(1, len(found)) + model.bias
+        e = np.exp((logits - logits.max()) / model.temperature)
+        chance = e / e.sum()
+        assert got[i].lang_pred == (model.languages[int(chance.argmax())] if any(c.isalpha() for c in texts[i]) else "und")
+        assert got[i].lang_pred == "und" or abs(got[i].score - chance.max()) < 1e-4
+
+
 def test_vector_query(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding").collect()
     base = np.array([r.embedding for r in rows])

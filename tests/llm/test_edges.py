@@ -1,5 +1,8 @@
 """Every operator and pipeline stage on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import re
+
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +119,45 @@ def test_pii(docs):
     assert pseudonymise(docs.where("false"), "k").collect() == []
 
 
+def test_columns_that_clash_in_another_case(spark):
+    df = spark.createDataFrame([(1, "mail a.b@c.de one two three four five six")], "Doc_ID long, Text string")
+    df = df.select("*", *(F.lit("x").alias(c) for c in ("Items", "Score", "LANG_PRED", "PII", "_PII_found", "_pii_KEY", "Size", "Node", "Words", "Block", "Counts", "Edits")))
+    kept = lambda out, *gone: [c for c in df.columns if c not in gone] == out.columns[: len(df.columns) - len(gone)]
+    model = Model(["de", "en"], np.ones((65536, 2), np.float32), np.zeros(2), 1.0)
+    said = identify(df, model, "text")
+    # Equal chances are a tie: the first language in order.
+    assert kept(said, "Score", "LANG_PRED") and (said.first().lang_pred, said.first().score) == ("de", 0.5)
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    found = contamination(df, bench, id_col="doc_id", text_col="text")
+    assert kept(found, "Items") and [i["item_id"] for i in found.first()["items"]] == [1]
+    safe = pseudonymise(df, "k", "text")
+    assert kept(safe, "PII") and "a.b@c.de" not in safe.first()["Text"]
+    assert bpe_encode_decode(df, WORD).count() == near_duplicates(df).count() == scan_licenses(df).count() == shard_documents(df).count() == 1
+
+
+def test_very_long_texts_with_hits(spark):
+    n = 4000
+    long = " ".join(f"call +1 (212) 555-{k:04d} or mail somename{k:05d}@h.org under the mit license now" for k in range(n))
+    df = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    out = pseudonymise(df, "k").first()
+    assert len(out.pii) == 2 * n and len(out.text) == len(long)
+    assert re.sub(r"555-|[a-z0-9]+@|\d", "", re.sub(r"\(\d+\) \d+-", "() -", out.text)) == re.sub(r"555-|[a-z0-9]+@|\d", "", re.sub(r"\(\d+\) \d+-", "() -", long))
+    row = scan_licenses(df).first()
+    assert len(row.base) == n and len(row.notices) == 0 or all(x["label"] in ("mit", "gpl") for x in row.notices)
+
+
+def test_the_key_is_in_no_plan(spark, docs, capsys):
+    out = pseudonymise(docs, "the-very-secret-key")
+    out.explain("extended")
+    out.explain("formatted")
+    assert "the-very-secret-key" not in capsys.readouterr().out and "the-very-secret-key" not in out._jdf.queryExecution().toString()
+
+
+def test_sharding_of_null_and_empty_texts(spark):
+    rows = {r.doc_id: r for r in shard_documents(spark.createDataFrame([(1, None), (2, ""), (3, None)], "doc_id long, text string"), 2).collect()}
+    assert [rows[k].text_crc32 for k in (1, 2, 3)] == [None, 0, None] and rows[1].shard == rows[3].shard and {r.size for r in rows.values()} == {8}
+
+
 def test_sharding(docs):
     rows = shard_documents(docs, 3).collect()
     assert sorted((r.doc_id for r in rows), key=lambda x: (x is None, x or 0)) == ALL
@@ -155,6 +197,16 @@ def test_urls(spark):
     assert not any(r.blocked for r in judge(caps, entries.where("false")).collect()) and judge(caps.where("false"), entries).collect() == []
 
 
+def test_urls_with_clashing_columns_and_long_urls(spark):
+    entries = spark.createDataFrame([("b.org", "spam", "add", "2024-01-01"), ("a.b.org/x", "adult", "add", "2024-01-01"), ("b.org/y", "x", "add", "2024-06-01")], "pattern string, category string, action string, at string").withColumn("at", F.to_date("at"))
+    rows = [(1, "http://a.b.org/x/" + "p/" * 20000, "2024-05-05"), (2, "http://" + "s." * 3000 + "b.org/", "2024-01-01"), (3, "", "2024-05-05"), (4, "http://b.org/y", "2023-12-31")]
+    caps = spark.createDataFrame(rows, "page_id long, url string, fetched_at string").withColumn("fetched_at", F.to_date("fetched_at"))
+    caps = caps.select("*", *(F.lit("x").alias(c) for c in ("_url", "_at", "_Entry", "Entry", "HOST", "at", "since")))
+    got = {r.page_id: r for r in judge(caps, entries).collect()}
+    assert {i: (r.entry, r.categories) for i, r in got.items()} == {1: ("a.b.org/x", ["adult", "spam"]), 2: ("b.org", ["spam"]), 3: (None, []), 4: (None, [])}
+    assert got[1]._url == "x" and got[1]["at"] == "x" and got[3].host is None
+
+
 def test_urls_by_entries_of_any_depth(spark):
     deep = "e.org/" + "/".join(f"p{i}" for i in range(12))
     entries = spark.createDataFrame([("b.org/a/b/c/", "spam", "add", "2024-01-01"), (deep, "adult", "add", "2024-01-01")], "pattern string, category string, action string, at string").withColumn("at", F.to_date("at"))
