@@ -247,14 +247,15 @@ def _with_sets(texts: DataFrame, found: DataFrame, classes: DataFrame, left: Dat
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (id_col, n_shingles, component_id, kept).
+    """One row per row of docs: (id_col, n_shingles, component_id, kept, digest, first).
 
     Words are runs of anything but blanks, A-Z in lower case. Documents are linked where the shingle sets A and B have
     100 * |A and B| >= percent * |A or B|; component_id is the least id that links reach, the row's own included, and kept
     tells whether that is the row's own. Texts that are null, empty or without words have no shingles and are linked with
     nothing, so they are kept; texts of fewer words than a shingle have one, the whole. Rows with a null id take part;
     they get the least id of their component (null if it has none). Rows that repeat an id are rows of their own and all
-    say kept where that id is the component's. Other columns are ignored. An empty table gives no rows.
+    say kept where that id is the component's. digest is xxhash64 of the text; first tells whether a row's id and digest are the
+    least of the component, null ids last, so it is true of one row of each component but for rows that repeat both. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     flips = most_flips(percent / 100)
@@ -263,7 +264,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     found, _ = shared.stash(profiles(texts, shingle), "profiles")
     firsts = (F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch"))
-    classes = found.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.min(F.struct("id", "digest")).alias("row"), *firsts)
+    classes = found.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "digest")).alias("row"), *firsts)
     classes, _ = shared.stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     sketches = classes.select("node", "n_shingles", "sketch")
 
@@ -313,16 +314,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     more, more_paths = linked(again)
     second = more.select(F.col("node").alias("root"), F.col("root").alias("next"))
 
-    rooted = classes.select("k1", "k2", "node", "least").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = rooted.join(second, "root", "left").select("k1", "k2", "least", F.coalesce("next", "root").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named, _ = shared.stash(rooted.join(lowest, "root").select("k1", "k2", "component_id"), "named")
+    rooted = classes.select("k1", "k2", "node", "least", "row").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rooted.join(second, "root", "left").select("k1", "k2", "least", "row", F.coalesce("next", "root").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("row").alias("top"))
+    named, _ = shared.stash(rooted.select("k1", "k2", "root").join(lowest, "root").select("k1", "k2", "component_id", "top"), "named")
     shared.forget(spark, met_path, mine_path, rest_path, *first_paths, *more_paths)
-    out = found.select("id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
+    out = found.select("id", "digest", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("k1").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    leads = F.col("id").eqNullSafe(F.col("top.id")) & (F.col("digest") == F.col("top.digest")) | F.col("k1").isNull()
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "digest", F.coalesce(leads, F.lit(True)).alias("first"))
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
     """The query: 3-word shingles, 85 of 100."""
-    return near_duplicates(shared.table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return near_duplicates(shared.table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("digest", "first")

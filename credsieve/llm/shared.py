@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_made: list[list[str]] = []
+
+
 def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written to the shared folder and read again, so that a lost executor costs no recomputation; and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _made:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -46,6 +53,19 @@ def buckets(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all that stash() wrote within. What operators return reads such tables, so it must have been written
+    or collected by then."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield
+    finally:
+        _made[:] = [m for m in _made if m is not made]
+        forget(spark, *made)
+
+
 def without(columns: list[str], *replaced: str) -> list[str]:
     """The columns but those of these names, in any case of their letters, as Spark reads names."""
     gone = {c.lower() for c in replaced}

@@ -224,4 +224,9 @@ def test_stages_keep_columns_and_stand_any_rows(spark, docs, tiny):
                 assert out.columns == plain.columns
             out.collect()
     kept = corpus_pipeline.near_dedup(spark, plain, tiny)
-    assert ids(kept) == [1, 2, 3, 5, 6, 7, None]
+    # One row of each group stays, one without an id only where none has one, or where it is in no group.
+    assert ids(kept) == [1, 2, 3, 5, 6, 7]
+    unnamed = plain.unionByName(plain.where("doc_id = 5").selectExpr("null as doc_id", "'quite another text' as text", "lang", "source", "n_chars"))
+    assert ids(corpus_pipeline.near_dedup(spark, unnamed, tiny)) == [1, 2, 3, 5, 6, 7, None]
+    twice = plain.where("doc_id = 3").selectExpr("doc_id", "text", "lang", "'a' as source", "n_chars").unionByName(plain.where("doc_id = 3"))
+    assert [r.source for r in corpus_pipeline.near_dedup(spark, twice, tiny).collect()] == ["a"]
