@@ -181,6 +181,12 @@ def _columns(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray,
 _TILE = "a long, b int, c int, d int"
 
 
+def _tiles(rows: DataFrame):
+    """rows by tile, dealt to a number of tasks of their own: tiles are few bytes and much work, so tasks must not be merged by size."""
+    tile = ("a", "b", "c", "d")
+    return rows.repartition(shared.buckets(rows.sparkSession), *tile).groupBy(*tile)
+
+
 def _survivors(rows: DataFrame, percent: int, flips: int) -> DataFrame:
     """Of rows (a to d: the tile, node, comp, outer, n_shingles, sketch), those with a partner in their tile that their sketches
     allow for, in another component; without n_shingles and sketch."""
@@ -195,7 +201,7 @@ def _survivors(rows: DataFrame, percent: int, flips: int) -> DataFrame:
             left[i] |= len(js) > 0
         return t.filter(pa.array(left)).select(out.names).cast(out)
 
-    return rows.groupBy("a", "b", "c", "d").applyInArrow(run, f"{_TILE}, node long, comp long, outer boolean")
+    return _tiles(rows).applyInArrow(run, f"{_TILE}, node long, comp long, outer boolean")
 
 
 def _confirm(rows: DataFrame, percent: int, flips: int) -> DataFrame:
@@ -207,7 +213,7 @@ def _confirm(rows: DataFrame, percent: int, flips: int) -> DataFrame:
         links = _link(node, comp, outer, sketch, _binary(t["items"]), percent, flips) if len(node) > 1 else []
         return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=out)
 
-    return rows.groupBy("a", "b", "c", "d").applyInArrow(run, "u long, v long")
+    return _tiles(rows).applyInArrow(run, "u long, v long")
 
 
 def _with_sets(texts: DataFrame, found: DataFrame, classes: DataFrame, left: DataFrame, shingle: int) -> DataFrame:

@@ -128,7 +128,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     its component's least id. An empty table gives no rows; other columns are ignored, whatever their names. Very long vectors are
     held whole: a tile takes GROUP times their length, twice.
     """
-    shared.small_batches(vectors.sparkSession)
+    spark = vectors.sparkSession
+    shared.small_batches(spark)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,10 +175,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
 
         return run
 
+    def tiles(rows: DataFrame):
+        """By tile, dealt to a number of tasks of their own: tiles are few bytes and much work, so tasks must not be merged by size."""
+        return rows.repartition(shared.buckets(spark), "x", "y").groupBy("x", "y")
+
     ddl = "x int, y int, own int, node long, other long, links long, open boolean"
-    sure, _ = shared.stash(dealt.groupBy("x", "y").applyInArrow(tile(False), ddl), "links")
+    sure, _ = shared.stash(tiles(dealt).applyInArrow(tile(False), ddl), "links")
     left = sure.where("open").select("x", "y", "own", "node").join(classes.select("node", "weight", "vec", "q", "scale", "eps"), "node")
-    more, _ = shared.stash(left.groupBy("x", "y").applyInArrow(tile(True), ddl), "links")
+    more, _ = shared.stash(tiles(left).applyInArrow(tile(True), ddl), "links")
     links = sure.unionByName(more).where("links > 0")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("node").alias("u"), F.col("other").alias("v")))
