@@ -22,6 +22,7 @@ EXTRACTORS = [
     ("setenv", rf"(?i)\b(?:setenv|set_env|putenv|setproperty|set_property)\s*\(\s*[\"']({_IDENT})[\"']\s*,\s*[\"']([^\"'`]{{6,256}})[\"']\s*\)", 1, 2, "FunctionArg"),
     ("header", r"(?i)\b(authorization|x-api-key|x-auth-token|x-access-token|cookie|set-cookie)\b\s*[:=]\s*[\"']?([^\"'`]{8,512})[\"']?", 1, 2, "HeaderValue"),
 ]
+# URLs with credentials, key blocks, bearer headers and here-documents.
 URL_CREDENTIALS = r"(?i)((?:postgres(?:ql)?|mysql|mariadb|mssql|mongodb|redis|amqp|rabbitmq|https?)://[A-Za-z0-9_.~-]{1,64}:([^@\s'\"`]{4,128})@[A-Za-z0-9._:/-]{1,253})"
 PEM = r"(?s)-----BEGIN [A-Z0-9 ]+PRIVATE KEY-----.*?-----END [A-Z0-9 ]+PRIVATE KEY-----"
 BEARER = r"(?is)(authorization\s*:\s*bearer\s+[A-Za-z0-9._=-]{12,512})"
@@ -40,7 +41,7 @@ TOKENS = ["token", "secret", "sessionsecret", "oauth", "oidc", "credential", "au
 TOKEN_STARTS = ["ghp_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-2-", "xoxr-", "sg.", "sq0atp-", "ya29."]
 KEY_STARTS = ["sk_live_", "sk_test_", "rk_live_"]
 CLOUD_STARTS = ["AKIA", "ASIA", "A3T", "AIza"]
-SECRET_IDENTIFIERS = ["password", "passwd", "pwd", "secret", "token", "apikey", "accesskey", "privatekey", "clientsecret", "clientid", "credential", "oauth", "auth", "signing", "consumer", "session", "cookie", "refresh", "bearer", "jwt", "webhook"]
+SECRET_IDENTIFIERS = ["password", "passwd", "pwd", "secret", "token", "apikey", "accesskey", "clientsecret", "clientid", "credential", "auth", "consumer", "signing", "license", "session", "cookie", "refresh", "header", "webhook", "privatekey", "nonce"]
 CONTEXTS = ["oauth", "github", "gitlab", "stripe", "slack", "database", "jwt", "bearer", "private key", "x-api-key", "authorization", "cookie", "session", "webhook"]
 
 
@@ -132,7 +133,8 @@ def typed_candidates(fragments: DataFrame, id_col: str, text_col: str, path_col:
 
 
 def block_candidates(fragments: DataFrame, id_col: str, text_col: str, path_col: str) -> DataFrame:
-    """Key blocks, bearer headers and here-documents over several lines."""
+    """Key blocks, bearer headers and here-documents over several lines, with the evidence that route() reads; offset is the
+    place where such a value stands first in the text."""
     text = F.col(text_col)
     rows = lambda hits, kind, pattern, prox, struct: F.transform(hits, lambda h, k: F.struct(k.alias("seq"), F.lit("").alias("identifier"), h.alias("value"), F.lit(pattern).alias("pattern"), F.lit(kind).alias("kind"), F.lit(prox).alias("proximity"), F.lit(struct).alias("structure")))
     pem = rows(F.regexp_extract_all(text, F.lit(PEM), F.lit(0)), "PrivateKey", "Unknown", 0.95, 0.95)
@@ -141,7 +143,13 @@ def block_candidates(fragments: DataFrame, id_col: str, text_col: str, path_col:
     here = F.transform(docs, lambda d, k: F.struct(k.alias("seq"), d["i"].alias("identifier"), F.trim(d["v"]).alias("value"), F.lit("Assignment").alias("pattern"), match_kind(d["i"], d["v"], d["i"]).alias("kind"), F.lit(0.9).alias("proximity"), F.lit(0.75).alias("structure")))
     here = F.filter(here, lambda h: F.octet_length(h["value"]).between(12, 2048))
     some = text.contains("-----BEGIN ") | F.lower(text).contains("authorization") | text.contains("<<")
-    return fragments.where(some).select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.explode(F.concat(pem, bearer, here)).alias("c")).select("id", "path", "c.*")
+    found = fragments.where(some).select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), text.alias("_text"), F.explode(F.concat(pem, bearer, here)).alias("c")).select("id", "path", "_text", "c.*")
+    value = F.col("value")
+    return found.select(
+        "id", "path", F.lit(0).alias("line_no"), F.greatest(F.expr("instr(_text, value)") - 1, F.lit(0)).cast("long").alias("offset"), F.lit(len(EXTRACTORS) + 1).alias("extractor"), "seq", "identifier", "value", "pattern", value.alias("snippet"), "kind",
+        looks_secret(F.col("identifier")).alias("has_secret_identifier"), F.lit(True).alias("typed"), (F.col("kind") != "BearerAuth").alias("multiline"), "proximity", "structure",
+        secondary_context(value).alias("secondary_context"), (F.col("kind") == "BearerAuth").alias("has_auth_context"),
+    )
 
 
 def route(candidates: DataFrame, entropy_threshold: float = 3.5) -> DataFrame:

@@ -34,33 +34,45 @@ def infer_kind(rule_id: Column, secret: Column, line: Column) -> Column:
 def score_matches(matches: DataFrame, rules: DataFrame, path_col: str = "path", key: bytes = b"credsieve", threshold: float = 0.5) -> DataFrame:
     """Findings: matches joined with their rule, scored, without hard negatives and those under the threshold. The secret
     itself is gone; its keyed hash and its redacted form stay.
+
+    Matches of routed candidates bring the candidate's evidence, scores and context in columns of their own (see match_routed);
+    for direct ones, evidence follows from the rule and the line, and the rule's weight stands for streams and pattern.
     """
-    dims = F.broadcast(rules.select(F.col("id").alias("rule_id"), "description", "severity", "category", "remediation"))
+    dims = F.broadcast(rules.select(F.col("id").alias("rule_id"), "description", "severity", "category", "remediation", F.coalesce("confidence_weight", F.lit(1.0)).alias("weight")))
     m = matches.join(dims, "rule_id")
-    line, secret, path = F.col("line"), F.col("secret"), F.col(path_col)
-    m = m.withColumn("kind", infer_kind(F.col("rule_id"), secret, line)).withColumn("variable", variable_name(line))
+    line, secret, path, weight = F.col("line"), F.col("secret"), F.col(path_col), F.col("weight")
+    brought = lambda name, otherwise: F.coalesce(F.col(name), otherwise) if name in matches.columns else otherwise
+    m = m.withColumn("kind", brought("routed_kind", infer_kind(F.col("rule_id"), secret, line))).withColumn("variable", brought("identifier", variable_name(line)))
     assigned = line.contains("=") | line.contains(":")
     e = {
-        "typed": F.col("variable").isNotNull() & assigned, "has_assignment": assigned, "has_secret_identifier": F.coalesce(discovery.looks_secret(F.col("variable")), F.lit(False)), "secondary_context": discovery.secondary_context(line),
-        "private_key_like": F.col("kind") == "PrivateKey", "multiline": secret.contains("\n"), "has_auth_context": F.lower(line).rlike("authorization|bearer|x-api-key|cookie"), "generic_catchall": F.col("rule_id").contains("catchall"),
-        "kind": F.col("kind"), "value_entropy": F.col("entropy"), "pattern": F.lit("Assignment"),
+        "typed": brought("typed", F.col("variable").isNotNull() & assigned), "has_assignment": assigned, "has_secret_identifier": brought("has_secret_identifier", F.coalesce(discovery.looks_secret(F.col("variable")), F.lit(False))),
+        "secondary_context": brought("secondary_context", discovery.secondary_context(line)), "private_key_like": F.col("kind") == "PrivateKey", "multiline": brought("multiline", secret.contains("\n")),
+        "has_auth_context": brought("has_auth_context", F.lower(line).rlike("authorization|bearer|x-api-key|cookie")), "generic_catchall": F.lower("rule_id").contains("catchall"),
+        "kind": F.col("kind"), "value_entropy": F.col("entropy"), "pattern": brought("pattern", F.lit("Assignment")),
     }
     m = m.withColumn("markov", F.round(markov_score(secret), 6)).withColumn("evidence_adj", scoring.evidence_adjustment(path, e))
-    m = m.withColumn("base", scoring.fuse(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.col("markov"), F.lit(1.0)))
+    nothing = F.lit(0.0)
+    streams = brought("tristream", weight)
+    m = m.withColumn("base", scoring.fuse(brought("candidate_entropy", nothing), brought("proximity", nothing), streams, F.col("markov"), weight))
     identifiers = F.when(F.col("variable").isNotNull(), F.array("variable"))
     m = m.withColumn("confidence", scoring.adjust(F.col("base"), path, identifiers, F.col("evidence_adj")))
-    m = m.withColumn("penalty", scoring.hard_negative_penalty(secret))
+    # The lesser of what the value and its context say; direct matches have no context.
+    context = F.coalesce(F.col("snippet"), F.lit("")) if "snippet" in matches.columns else F.lit("")
+    m = m.withColumn("penalty", F.least(scoring.hard_negative_penalty(secret), scoring.hard_negative_penalty(context)))
     strong = e["has_secret_identifier"] | e["secondary_context"].isNotNull() | e["multiline"] | e["has_auth_context"] | F.col("kind").isin("PrivateKey", "Jwt", "BearerAuth", "UrlCredentials")
     m = m.withColumn("confidence", F.round(scoring.hard_negative_decision(F.col("confidence"), F.col("penalty"), e["typed"], strong, e["generic_catchall"], path), 6))
     m = m.where(F.col("confidence") >= threshold)
     m = m.withColumn("secret_hash", hmac_sha256(secret, key)).withColumn("secret_redacted", redact(secret)).withColumn("secret_length", F.length("secret"))
-    m = m.withColumn("id", finding_id(F.col("rule_id"), F.col("secret_hash"), path, F.col("start"))).withColumn("rank", kind_rank(F.col("kind"), F.lit(False)))
-    return m.withColumn("remediation", F.coalesce("remediation", remediation_of(F.col("rule_id")))).withColumn("provider", provider_of(F.col("rule_id"))).drop("secret", "line", "base", "evidence_adj")
+    m = m.withColumn("id", finding_id(F.col("rule_id"), F.col("secret_hash"), path, F.col("start"))).withColumn("rank", kind_rank(F.col("kind"), e["generic_catchall"]))
+    m = m.withColumn("remediation", F.coalesce("remediation", remediation_of(F.col("rule_id")))).withColumn("provider", provider_of(F.col("rule_id")))
+    return m.withColumn("line_span", F.length("line") - F.length(F.replace("line", F.lit("\n"), F.lit("")))).drop("secret", "line", "base", "evidence_adj", "snippet", "value", "weight")
 
 
 def dedup_best(findings: DataFrame, path_col: str = "path") -> DataFrame:
-    """One finding for each secret and path: of the highest precedence, then confidence, then the shortest and first."""
-    order = [F.col("rank").desc(), F.col("confidence").desc(), F.col("line_no"), F.col("start"), F.col("rule_id")]
+    """One finding for each secret and path: of the highest precedence, then confidence, then over the fewest lines, then the
+    first. line_span: lines beyond the first that the match touches; one line each if there is no such column."""
+    span = F.col("line_span") if "line_span" in findings.columns else F.lit(0)
+    order = [F.col("rank").desc(), F.col("confidence").desc(), span, F.col("start"), F.col("rule_id")]
     return findings.withColumn("_n", F.row_number().over(Window.partitionBy("secret_hash", path_col).orderBy(*order))).where("_n = 1").drop("_n")
 
 

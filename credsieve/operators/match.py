@@ -6,12 +6,13 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.decode import deep_decode_udf
+from ..functions.decode import deep_decode, deep_decode_udf
 from ..functions.entropy import entropy_of
-from .rules import as_json, compiled
+from .rules import as_json, compiled, rule_buckets
+from .stages import literals
 
 #: Characters of lines that go on at once; each match brings its whole line, however long.
 BATCH = 8_000_000
@@ -80,15 +81,19 @@ class Matcher:
 
     def find(self, text: str, window: int | None) -> Iterator[tuple[str, int, int, str, float]]:
         for n, spans in sorted(self.spans(text, window).items()):
-            name, shape, group, allow, least = self.rules[n]
             for a, z in spans:
-                for m in shape.finditer(text, a, z):
-                    secret = m[1] if shape.groups and m[1] is not None else m[0]
-                    if group and (g := group.search(m[0])) and group.groups and g[1] is not None:
-                        secret = g[1]
-                    entropy = entropy_of(secret.encode("utf-8", "replace"))
-                    if not any(p.search(secret) for p in allow) and (least is None or entropy >= least):
-                        yield name, m.start(), m.end(), secret, round(entropy, 9)
+                yield from self.tried(n, text, a, z)
+
+    def tried(self, n: int, text: str, a: int, z: int) -> Iterator[tuple[str, int, int, str, float]]:
+        """Matches of a rule between two places."""
+        name, shape, group, allow, least = self.rules[n]
+        for m in shape.finditer(text, a, z):
+            secret = m[1] if shape.groups and m[1] is not None else m[0]
+            if group and (g := group.search(m[0])) and group.groups and g[1] is not None:
+                secret = g[1]
+            entropy = entropy_of(secret.encode("utf-8", "replace"))
+            if not any(p.search(secret) for p in allow) and (least is None or entropy >= least):
+                yield name, m.start(), m.end(), secret, round(entropy, 9)
 
 
 def _matcher(spec: str, mode: str) -> Matcher:
@@ -143,13 +148,73 @@ def match_rules(fragments: DataFrame, rules: DataFrame, id_col: str, text_col: s
 
 def match_decoded(fragments: DataFrame, rules: DataFrame, id_col: str, text_col: str, depth: int = 4) -> DataFrame:
     """As match_rules, over what quoted and long literals decode to; adds encoding_chain. Places are within the decoded text."""
-    from .stages import literals
-
     some = fragments.withColumn("_literal", F.explode(F.array_distinct(literals(F.col(text_col))))).where(F.octet_length("_literal") >= 16).drop(text_col)
     decoded = some.withColumn("_d", F.explode(deep_decode_udf(depth)("_literal"))).select("*", F.col("_d.data").alias(text_col), F.array_join("_d.chain", ">").alias("encoding_chain")).drop("_d", "_literal")
     return match_rules(decoded, rules, id_col, text_col)
 
 
+def merged_kind(rule_id: Column, kind: Column) -> Column:
+    """The kind that a rule's name says, else the candidate's."""
+    r = F.lower(rule_id)
+    return (
+        F.when(r.contains("jwt"), "Jwt").when(r.contains("bearer"), "BearerAuth").when(r.contains("private-key") | r.contains("pem"), "PrivateKey").when(r.contains("url") & r.contains("credential"), "UrlCredentials")
+        .when(r.contains("api-key"), "ApiKeyAssignment").when(r.contains("password"), "PasswordAssignment").when(r.contains("token"), "TokenAssignment").otherwise(kind)
+    )
+
+
+#: What match_routed adds to a match from its candidate, beside what all matches have.
+ROUTED = ["identifier", "snippet", "pattern", "typed", "multiline", "secondary_context", "has_secret_identifier", "has_auth_context", "proximity", "routed_kind", "tristream", "candidate_entropy", "encoding_chain"]
+
+
+def match_routed(candidates: DataFrame, rules: DataFrame, id_col: str, depth: int = 4) -> DataFrame:
+    """Matches of routed candidates: each is tried by the rules of its bucket alone, in its snippet and in what the literals of the
+    snippet decode to. Columns as those of match_rules, and ROUTED.
+
+    A candidate whose bucket has no rule is dropped; one for authorization headers is tried by rules for tokens then. Places are
+    those of the snippet in the text, or within the decoded text if there is an encoding_chain. Rules are broadcast with the
+    task, candidates are not shuffled.
+    """
+    by_bucket: dict[str, list[str]] = {}
+    for r in rule_buckets(rules).orderBy("bucket", "id").collect():
+        by_bucket.setdefault(r.bucket, []).append(r.id)
+    by_bucket.setdefault("auth_header", by_bucket.get("token", []))
+    spec = as_json(rules)
+    held = candidates.select(
+        F.col("id").alias(id_col), "path", F.nullif("identifier", F.lit("")).alias("identifier"), "snippet", "pattern", "typed", "multiline", "secondary_context", "has_secret_identifier", "has_auth_context", "proximity",
+        F.col("kind").alias("routed_kind"), F.least((F.col("proximity") + F.col("structure")) / 2, F.lit(1.0)).alias("tristream"), F.col("entropy").alias("candidate_entropy"), (F.col("line_no") + 1).cast("long").alias("line_no"),
+        F.col("offset").alias("_offset"), F.col("bucket").alias("_bucket"), literals(F.col("snippet")).alias("_literals"),
+    )
+    n_kept = len(held.columns) - 3
+    names = held.columns[:n_kept]
+    found = pa.schema([("rule_id", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret", pa.string()), ("line", pa.string()), ("match_entropy", pa.float64()), ("encoding_chain", pa.string())])
+    schema = held.select(*names).selectExpr("*", "cast(null as string) rule_id", "0L start", "0L end", "cast(null as string) secret", "cast(null as string) line", "0D match_entropy", "cast(null as string) encoding_chain").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = _matcher(spec, "all")
+        place = {rule[0]: n for n, rule in enumerate(tool.rules)}
+        wanted = {b: [place[i] for i in ids] for b, ids in by_bucket.items()}
+        for batch in batches:
+            at, rows = [], []
+            columns = zip(*(batch.column(c).to_pylist() for c in (names.index("snippet"), n_kept, n_kept + 1, n_kept + 2)))
+            for i, (snippet, offset, bucket, words) in enumerate(columns):
+                if not wanted.get(bucket):
+                    continue
+                texts = [(snippet, None)]
+                for word in words or []:
+                    texts += [(data.decode("utf-8", "replace"), ">".join(chain)) for data, chain in deep_decode(word.encode(), depth)]
+                for text, chain in texts:
+                    for n in wanted.get(bucket, ()):
+                        for name, a, z, secret, entropy in tool.tried(n, text, 0, len(text)):
+                            at.append(i)
+                            low = offset if chain is None else 0
+                            rows.append((name, a + low, z + low, secret, snippet, entropy, chain))
+            cols = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(found), found)]
+            places = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(places) for c in range(n_kept)), *cols], names=schema.names)
+
+    return held.mapInArrow(run, schema).withColumn("routed_kind", merged_kind(F.col("rule_id"), F.col("routed_kind"))).withColumnRenamed("match_entropy", "entropy")
+
+
 def merge_matches(direct: DataFrame, routed: DataFrame, id_col: str) -> DataFrame:
     """The union, of which one match stays for each fragment, rule and start: the direct one first."""
     both = direct.withColumn("path_rank", F.lit(0)).unionByName(routed.withColumn("path_rank", F.lit(1)), allowMissingColumns=True)
@@ -158,7 +223,20 @@ def merge_matches(direct: DataFrame, routed: DataFrame, id_col: str) -> DataFram
 
 
 def keyword_prefilter(fragments: DataFrame, rules: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, rule_id) for every rule one of whose keywords the text contains: a join on contains(), rules broadcast."""
-    words = rules.select(F.col("id").alias("rule_id"), F.explode("keywords").alias("keyword")).withColumn("keyword", F.lower("keyword"))
-    low = fragments.select(F.col(id_col), F.lower(text_col).alias("_low"))
-    return low.join(F.broadcast(words), F.expr("contains(_low, keyword)")).select(id_col, "rule_id").distinct()
+    """(id, rule_id) for every rule one of whose keywords the text contains in any case: one pass of the automaton over a text,
+    however many rules there are; rules without keywords are not listed. Fragments are not shuffled."""
+    spec = as_json(rules)
+    some = fragments.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    schema = some.select(id_col).withColumn("rule_id", F.lit("")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = _matcher(spec, "all")
+        for batch in batches:
+            at, names = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for n in sorted({n for _, _, ns in tool.hits((text or "").lower()) for n in ns}):
+                    at.append(i)
+                    names.append(tool.rules[n][0])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string())], names=schema.names)
+
+    return some.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ def dedup_best(spark, d) -> DataFrame:
     return ops.dedup_best(findings(spark, d)).select("id", "secret_hash", "path", "rank", "confidence")
 
 
-DEDUP_BEST = f"select id, secret_hash, path, rank, confidence from ({FINDINGS}) qualify row_number() over (partition by secret_hash, path order by rank desc, confidence desc, line_no, start, rule_id) = 1"
+DEDUP_BEST = f"select id, secret_hash, path, rank, confidence from ({FINDINGS}) qualify row_number() over (partition by secret_hash, path order by rank desc, confidence desc, start, rule_id) = 1"
 
 
 def dedup_first(spark, d) -> DataFrame:

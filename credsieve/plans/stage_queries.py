@@ -277,11 +277,86 @@ def block_candidates(spark, d) -> DataFrame:
     return discovery.block_candidates(fragments(spark, d), "doc_id", "text", "path").select(F.col("id").alias("doc_id"), "seq", "kind", "pattern", F.md5(F.col("value").cast("binary")).alias("digest"))
 
 
+def _candidates(f: DataFrame) -> DataFrame:
+    return discovery.typed_candidates(f, "doc_id", "text", "path", cap=False).unionByName(discovery.block_candidates(f, "doc_id", "text", "path"))
+
+
+def _both(f: DataFrame, r: DataFrame) -> DataFrame:
+    direct = match.match_rules(f, r, "doc_id", "text")
+    return match.merge_matches(direct, match.match_routed(discovery.route(_candidates(f)), r, "doc_id"), "doc_id")
+
+
+def planted(spark, d) -> DataFrame:
+    """(doc_id, path, text): a text for each customer that holds a credential of one of ten forms, derived from the key."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
+    k = F.col("doc_id")
+    digest = F.md5(k.cast("string"))
+    forms = F.array(*(F.format_string(form.replace("%", "%%").replace("{}", "%s"), *[digest] * form.count("{}")) for form in PLANTED))
+    return c.select("doc_id", F.concat(F.lit("app/conf_"), k.cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("# settings\n"), F.element_at(forms, (k % len(PLANTED) + 1).cast("int")), F.lit("\nend\n")).alias("text"))
+
+
+# The planted texts; {} is the MD5 of the key.
+PLANTED = [
+    'token = "{}"', "ghp_{}abcd", 'password: "P{}"', "DATABASE=postgres://admin:{}@db.example:5432/app", "-----BEGIN RSA PRIVATE KEY-----\n{}\n{}\n-----END RSA PRIVATE KEY-----", "Authorization: Bearer {}", "export CLIENT_SECRET={}",
+    "SECRET_TEXT=<<EOF\n{}\nEOF", 'api_key = "{}"', "glpat-{}",
+]
+PLANTED_SQL = (
+    "select c_custkey as doc_id, 'app/conf_' || c_custkey::varchar || '.py' as path, '# settings' || chr(10) || "
+    + sql.case([(f"c_custkey % {len(PLANTED)} = {k}", "replace(replace(" + sql.lit(form.replace("\n", "~")) + ", '~', chr(10)), '{}', md5(c_custkey::varchar))") for k, form in enumerate(PLANTED)], "''")
+    + " || chr(10) || 'end' || chr(10) as text from customer"
+)
+
+
+def planted_blocks(spark, d) -> DataFrame:
+    """Key blocks, bearer headers and here-documents of the planted texts."""
+    found = discovery.block_candidates(planted(spark, d), "doc_id", "text", "path")
+    return found.select(F.col("id").alias("doc_id"), "offset", "kind", "pattern", F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
+PLANTED_BLOCKS = f"""
+with p as ({PLANTED_SQL})
+select doc_id, 11::bigint as "offset", 'PrivateKey' as kind, 'Unknown' as pattern, md5(substr(text, 12, length(text) - 16)) as digest from p where contains(text, 'BEGIN RSA')
+union all select doc_id, 11, 'BearerAuth', 'HeaderValue', md5('Authorization: Bearer ' || md5(doc_id::varchar)) from p where contains(text, 'Bearer')
+union all select doc_id, 29, 'TokenAssignment', 'Assignment', md5(md5(doc_id::varchar)) from p where contains(text, 'EOF')"""
+
+
+def planted_routes(spark, d) -> DataFrame:
+    """All candidates of the planted texts by kind, route and bucket."""
+    return discovery.route(_candidates(planted(spark, d))).groupBy("extractor", "kind", "pattern", "route", "bucket", "has_secret_identifier").agg(F.count("*").alias("n"))
+
+
+def routed_matches(spark, d) -> DataFrame:
+    """The planted texts' candidates under the rules of their buckets."""
+    found = match.match_routed(discovery.route(_candidates(planted(spark, d))), rules.load_rules(spark), "doc_id")
+    return found.select("doc_id", "rule_id", "start", "routed_kind", "encoding_chain", F.md5(F.col("secret").cast("binary")).alias("digest")).distinct()
+
+
+def merged_matches(spark, d) -> DataFrame:
+    """Direct and routed matches of the planted texts, one for each rule and place."""
+    found = _both(planted(spark, d), rules.load_rules(spark))
+    return found.select("doc_id", "rule_id", "start", "path_rank", F.md5(F.col("secret").cast("binary")).alias("digest"))
+
+
+def planted_findings(spark, d) -> DataFrame:
+    r = rules.load_rules(spark)
+    found = dedup_best(score_matches(_both(planted(spark, d), r), r))
+    return found.select("doc_id", "path", "rule_id", "severity", "kind", "variable", "line_no", "line_span", "confidence", "secret_redacted")
+
+
+def planted_rule_matches(spark, d) -> DataFrame:
+    """Rules whose result is that of their pattern alone, over the planted texts."""
+    found = match.match_rules(planted(spark, d), rules.load_rules(spark).where(F.col("id").isin([r.id for r in PLAIN])), "doc_id", "text")
+    return found.groupBy("doc_id", "rule_id", F.md5(F.col("secret").cast("binary")).alias("digest")).agg(F.count("*").alias("n"))
+
+
+PLANTED_RULES = f"""
+with documents as ({PLANTED_SQL}), {RULE_MATCHES.strip().removeprefix("with ")}"""
+
+
 def findings(spark, d) -> DataFrame:
-    """All built-in rules over the documents, scored, with hard negatives and copies taken out."""
+    """All built-in rules over the documents, directly and by routed candidates, scored, with hard negatives and copies taken out."""
     r = rules.load_rules(spark)
-    m = match.match_rules(fragments(spark, d), r, "doc_id", "text")
-    return dedup_best(score_matches(m, r)).select("doc_id", "path", "rule_id", "severity", "kind", "variable", "line_no", "start", "confidence", "secret_redacted", "secret_hash")
+    return dedup_best(score_matches(_both(fragments(spark, d), r), r)).select("doc_id", "path", "rule_id", "severity", "kind", "variable", "line_no", "start", "confidence", "secret_redacted", "secret_hash")
 
 
 def document_decoded_findings(spark, d) -> DataFrame:
@@ -314,9 +389,10 @@ QUERIES = {
     "scan_report": scan_report, "byte_entropy_docs": byte_entropy_docs, "entropy_windows_engine": _windows("engine"), "entropy_windows_stage": _windows("stage"), "entropy_windows_chunks": _windows("chunks"), "proximity_engine": proximity_engine, "proximity_stage": proximity_stage,
     "tristream_identifiers": tristream_identifiers, "tristream_literals": tristream_literals, "tristream_structure": tristream_structure, "stage_streams": stage_streams, "gated_windows": gated_windows, "token_hits": token_hits, "keyword_prefilter": keyword_prefilter,
     "rule_matches": rule_matches, "regex_theta_join": regex_theta_join, "typed_assignments": typed_assignments, "routed_candidates": routed_candidates, "block_candidates": block_candidates, "findings": findings, "decoded_findings": decoded_findings,
-    "document_decoded_findings": document_decoded_findings, "rule_matches_all": rule_matches_all,
+    "document_decoded_findings": document_decoded_findings, "rule_matches_all": rule_matches_all, "planted_blocks": planted_blocks, "planted_routes": planted_routes, "routed_matches": routed_matches, "merged_matches": merged_matches,
+    "planted_findings": planted_findings, "planted_rule_matches": planted_rule_matches,
 }
 ORACLE_SQL = {
     "byte_entropy_docs": BYTE_ENTROPY, "entropy_windows_engine": ENGINE_WINDOWS, "entropy_windows_stage": STAGE_WINDOWS, "entropy_windows_chunks": CHUNK_WINDOWS, "proximity_engine": PROXIMITY_ENGINE, "proximity_stage": PROXIMITY_STAGE, "tristream_identifiers": IDENTIFIERS, "tristream_literals": LITERALS,
-    "tristream_structure": STRUCTURE, "stage_streams": STREAMS, "token_hits": TOKEN_HITS, "keyword_prefilter": KEYWORDS, "rule_matches": RULE_MATCHES, "regex_theta_join": THETA, "typed_assignments": TYPED, "routed_candidates": ROUTED, "decoded_findings": DECODED,
+    "tristream_structure": STRUCTURE, "stage_streams": STREAMS, "token_hits": TOKEN_HITS, "keyword_prefilter": KEYWORDS, "rule_matches": RULE_MATCHES, "regex_theta_join": THETA, "typed_assignments": TYPED, "routed_candidates": ROUTED, "decoded_findings": DECODED, "planted_blocks": PLANTED_BLOCKS, "planted_rule_matches": PLANTED_RULES,
 }
