@@ -22,19 +22,24 @@ def shannon_entropy(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else entropy_of(b))
 
 
-def window_entropies(raw: bytes, starts: np.ndarray, size: int) -> np.ndarray:
-    """Entropy of each window of `size` bytes; windows reach no further than the end."""
-    data = np.frombuffer(raw, np.uint8)
-    out = np.zeros(len(starts))
+def window_entropies(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, pad: bool = False) -> np.ndarray:
+    """Entropy of each window of `size` bytes from starts, no further than ends, or with zero bytes beyond it if pad.
+
+    A window of n bytes has log2(n) less the mean, over its bytes, of the log2 of how often the byte stands in it.
+    """
+    out, logs_of = np.zeros(len(starts)), np.log2(np.maximum(np.arange(size + 1), 1))
     if not len(data):
         return out
     for a in range(0, len(starts), 4096):
         s = starts[a : a + 4096]
         at = s[:, None] + np.arange(size)
-        inside = at < len(data)
-        values = data[np.minimum(at, max(0, len(data) - 1))].astype(np.int64)
-        key = (values + np.arange(len(s))[:, None] * 256)[inside]
-        count = np.bincount(key, minlength=len(s) * 256).reshape(len(s), 256)
-        p = count / np.maximum(count.sum(axis=1, keepdims=True), 1)
-        out[a : a + 4096] = -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1)
-    return out + 0.0
+        inside = at < ends[a : a + 4096, None]
+        values = np.where(inside, data[np.minimum(at, len(data) - 1)], 0)
+        inside |= pad
+        # Bytes outside go to a cell of their own.
+        key = np.where(inside, values + np.arange(len(s))[:, None] * 256, len(s) * 256)
+        count = np.bincount(key.ravel(), minlength=len(s) * 256 + 1)
+        count[-1] = 0
+        n = np.maximum(inside.sum(axis=1), 1)
+        out[a : a + 4096] = np.log2(n) - logs_of[count[key]].sum(axis=1) / n
+    return np.abs(out)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.markov import trigrams
 from ..functions.scalar import any_of
 from . import paths
 
@@ -75,18 +78,52 @@ def normal_path(path):
     return F.regexp_replace(p, r"(?i)^.*?(?:\./|creddata/|^)data/", "")
 
 
+# The 64 characters of the model, in the order of their codes.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
+
+
 def trigram_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """(trigram, n) over the 64 characters of the model."""
-    kept = F.regexp_replace(F.col(text_col), "[^A-Za-z0-9_-]", "")
-    return texts.select(F.explode(trigrams(kept)).alias("trigram")).groupBy("trigram").agg(F.count("*").alias("n"))
+    """(trigram, n) over the 64 characters of the model; others are passed over.
+
+    A task counts in a table of 64 ** 3 numbers, so no trigram leaves it more than once.
+    """
+    codes = np.full(256, 64, np.uint8)
+    codes[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(64**3, np.int64)
+        for batch in batches:
+            raw = batch.column(0).fill_null("").cast(pa.large_string())
+            at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            found = codes[np.frombuffer(raw.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]]
+            place = np.flatnonzero(found < 64)
+            c = found[place].astype(np.int32)
+            # Each text's first kept character; a trigram must end before the next text's.
+            after = np.searchsorted(place, at[1:] - at[0])
+            whole = np.ones(max(len(c) - 2, 0), bool)
+            for back in (1, 2):
+                crossing = after - back
+                whole[crossing[(crossing >= 0) & (crossing < len(whole))]] = False
+            if len(whole):
+                total += np.bincount((c[:-2] * 4096 + c[1:-1] * 64 + c[2:])[whole], minlength=64**3)
+        some = np.flatnonzero(total)
+        names = ["".join(ALPHABET[i >> s & 63] for s in (12, 6, 0)) for i in some.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(total[some])], names=["trigram", "n"])
+
+    return texts.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "trigram string, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
 
 
 def trigram_table(texts: DataFrame, text_col: str, k: float = 0.01) -> DataFrame:
-    """log2 probabilities with Laplace smoothing given the first two characters, kept within -20 and -1."""
-    c = trigram_counts(texts, text_col)
-    pairs = c.groupBy(F.substring("trigram", 1, 2).alias("pair")).agg(F.sum("n").alias("total"))
-    j = c.withColumn("pair", F.substring("trigram", 1, 2)).join(pairs, "pair")
-    return j.select("trigram", "n", F.round(F.least(F.greatest(F.log2((F.col("n") + k) / (F.col("total") + k * 64)), F.lit(-20.0)), F.lit(-1.0)), 6).alias("log2p"))
+    """(trigram, n, log2p) for all 64 ** 3 trigrams, seen or not: log2 probabilities with Laplace smoothing given the first two
+    characters, kept within -20 and -1."""
+    spark = texts.sparkSession
+    letter = lambda i: F.substring(F.lit(ALPHABET), (F.floor(i) % 64 + 1).cast("int"), F.lit(1))
+    i = F.col("id")
+    grid = spark.range(64**3).select(F.concat(letter(i / 4096), letter(i / 64), letter(i)).alias("trigram"))
+    # At most 64 ** 3 rows are on either side.
+    c = grid.join(F.broadcast(trigram_counts(texts, text_col)), "trigram", "left").select("trigram", F.coalesce("n", F.lit(0)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.substring("trigram", 1, 2)))
+    return c.select("trigram", "n", F.round(F.least(F.greatest(F.log2((F.col("n") + k) / (total + k * 64)), F.lit(-20.0)), F.lit(-1.0)), 6).alias("log2p"))
 
 
 def split_samples(samples: DataFrame, seed: int = 7, most: int = 512) -> dict[str, DataFrame]:

@@ -50,33 +50,37 @@ def window_count(n: Column, chunk: int = CHUNK, variant: str = "engine") -> Colu
     return F.when(n < LEAST, 0).when(n <= chunk, 1).otherwise(F.ceil((n - chunk) / stride) + 1)
 
 
-def _starts(n: int, chunk: int, variant: str) -> np.ndarray:
-    stride = max(chunk // 2, 1)
+def _counts(n: np.ndarray, chunk: int, variant: str) -> np.ndarray:
+    """window_count() of many fragments."""
     if variant == "engine":
-        return np.arange((n - chunk) // stride + 1 if n > chunk else 1) * stride
+        return np.where(n > chunk, (n - chunk) // (chunk // 2) + 1, 1)
     if variant == "chunks":
-        return np.arange(-(-n // chunk)) * chunk
-    starts = np.arange(0, max(n, 1), stride)
-    starts = starts[n - starts >= LEAST]
-    # The window that first reaches the end is the last.
-    done = np.flatnonzero(starts + chunk >= n)
-    return starts[: done[0] + 1] if len(done) else starts
+        return -(-n // chunk)
+    stride = max(chunk // 2, 1)
+    return np.where(n < LEAST, 0, np.where(n <= chunk, 1, -(-(n - chunk) // stride) + 1))
 
 
 def entropy_summary(fragments: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK, threshold: float = THRESHOLD, variant: str = "engine") -> DataFrame:
-    """(id, n_windows, n_candidates, max_entropy) for each fragment; windows never leave the worker."""
+    """(id, n_windows, n_candidates, max_entropy) for each fragment; windows of a whole batch are counted at once and never leave
+    the worker."""
     schema = pa.schema([(id_col, pa.int64()), ("n_windows", pa.int64()), ("n_candidates", pa.int64()), ("max_entropy", pa.float64())])
+    stride = chunk if variant == "chunks" else max(chunk // 2, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for raw in batch.column(1).to_pylist():
-                e = window_entropies(raw or b"", _starts(len(raw or b""), chunk, variant), chunk).round(9)
-                if variant == "chunks" and len(e) and len(raw) % chunk:
-                    e[-1] = window_entropies(raw[-(len(raw) % chunk) :].ljust(chunk, b"\0"), np.zeros(1, int), chunk).round(9)[0]
-                found = e > threshold if variant == "stage" else e >= threshold
-                rows.append((len(e), int(found.sum()), float(e.max()) if len(e) else 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, list(schema)[1:]))], schema=schema)
+            raw = batch.column(1).fill_null(b"").cast(pa.large_binary())
+            at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            data, at = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+            count = _counts(np.diff(at), chunk, variant)
+            upto = np.cumsum(count)
+            nth = np.arange(int(upto[-1]) if len(upto) else 0) - np.repeat(upto - count, count)
+            e = window_entropies(data, np.repeat(at[:-1], count) + nth * stride, np.repeat(at[1:], count), chunk, variant == "chunks").round(9)
+            found = np.concatenate([[0], np.cumsum(e > threshold if variant == "stage" else e >= threshold)])
+            some = count > 0
+            most = np.zeros(len(count))
+            if some.any():
+                most[some] = np.maximum.reduceat(e, (upto - count)[some])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(found[upto] - found[upto - count], pa.int64()), pa.array(most)], schema=schema)
 
     src = fragments.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("binary").alias("raw"))
     return src.mapInArrow(run, f"{id_col} long, n_windows long, n_candidates long, max_entropy double")

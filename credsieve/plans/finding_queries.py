@@ -319,7 +319,8 @@ def markov_trigram_table(spark, d) -> DataFrame:
 
 
 TRIGRAMS = """with k as (select regexp_replace(text, '[^A-Za-z0-9_-]', '', 'g') as x from documents), g as (select substr(x, i::bigint, 3) as trigram from k, unnest(range(1, length(x) - 1)) as r(i) where length(x) >= 3),
-c as (select trigram, count(*) as n from g group by trigram), p as (select substr(trigram, 1, 2) as pair, sum(n) as total from c group by 1)
+a as (select substr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-', i, 1) as l from range(1, 65) as r(i)), whole as (select x.l || y.l || z.l as trigram from a x, a y, a z),
+seen as (select trigram, count(*) as n from g group by trigram), c as (select trigram, coalesce(n, 0) as n from whole left join seen using (trigram)), p as (select substr(trigram, 1, 2) as pair, sum(n) as total from c group by 1)
 select trigram, n, round(least(greatest(log2((n + 0.01)::double / (total + 0.01 * 64)::double), -20), -1), 6) as log2p from c join p on p.pair = substr(c.trigram, 1, 2)"""
 
 

@@ -8,13 +8,14 @@ import json
 import tarfile
 import zipfile
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from credsieve.functions import decode, markov, scalar
-from credsieve.functions.entropy import entropy_of
+from credsieve.functions.entropy import entropy_of, window_entropies
 from credsieve.operators import discovery, evaluate, match, report, rules, scoring, stages
 from credsieve.operators import findings as ops
 from credsieve.sources import files, text
@@ -33,12 +34,25 @@ def test_entropy_values():
 @given(st.binary(max_size=300))
 def test_entropy_bounds_and_windows(raw):
     assert 0 <= entropy_of(raw) <= 8
-    for variant in ("engine", "stage", "chunks"):
-        starts = stages._starts(len(raw), 64, variant)
-        from credsieve.functions.entropy import window_entropies
-
-        got = window_entropies(raw, starts, 64)
+    for variant, stride in (("engine", 32), ("stage", 32), ("chunks", 64)):
+        starts = np.arange(int(stages._counts(np.array([len(raw)]), 64, variant)[0])) * stride
+        data, ends = np.frombuffer(raw, np.uint8), np.full(len(starts), len(raw))
+        got = window_entropies(data, starts, ends, 64)
         assert all(abs(e - entropy_of(raw[s : s + 64])) < 1e-9 for s, e in zip(starts, got))
+        padded = window_entropies(data, starts, ends, 64, pad=True)
+        assert not raw or all(abs(e - entropy_of(raw[s : s + 64].ljust(64, b"\0"))) < 1e-9 for s, e in zip(starts, padded))
+
+
+def test_trigrams_do_not_cross_texts(spark):
+    texts = ["ab", "cde-f", None, "", "x y!z", "q", "äA_b9"]
+    got = {r.trigram: r.n for r in evaluate.trigram_counts(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "t").collect()}
+    want = {}
+    for t in texts:
+        kept = "".join(c for c in t or "" if c in evaluate.ALPHABET)
+        for k in range(len(kept) - 2):
+            want[kept[k : k + 3]] = want.get(kept[k : k + 3], 0) + 1
+    assert got == want
+    assert evaluate.trigram_table(spark.createDataFrame([("abc",)], "t string"), "t").count() == 64**3
 
 
 def test_redaction(spark):
