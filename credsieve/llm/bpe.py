@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Bytes of text in a block, or one text. A larger block names fewer words twice; a worker holds one at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Words that a bucket remembers the ids of, some 100 bytes each. Beyond that it forgets them and encodes a word again that
 #: comes again; results are the same. More shuffle partitions make more buckets.
 MOST_WORDS = 400_000
@@ -105,7 +105,7 @@ def splitter(path: str) -> Splitter:
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
     parts = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
     body = b"".join([np.array([len(parts), *map(len, parts)], dtype=np.int64).tobytes(), *parts])
-    return np.int64(len(body)).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+    return np.int64(len(body)).tobytes() + pa.Codec("zstd", compression_level=6).compress(body, asbytes=True)
 
 
 def _planes(x: np.ndarray) -> bytes:

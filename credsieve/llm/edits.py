@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +59,11 @@ def counter(path: str, pattern: str) -> Counter:
     return _loaded[path]
 
 
+def _leaf_sizes(n: int) -> list[int]:
+    """Of n pre-tokens that nothing has edited yet."""
+    return [LEAF] * (n // LEAF) + [n % LEAF]
+
+
 class TokenTree:
     """pieces: pre-tokens; counts: their tokens; sizes: how many of them each leaf holds. encoded: how many pre-tokens had
     their tokens counted by edits."""
@@ -66,7 +73,7 @@ class TokenTree:
         self.leaves: list[list[str]] = []
         self.counts: list[list[int]] = []
         a = 0
-        for n in sizes if sizes is not None else [LEAF] * (len(pieces) // LEAF) + [len(pieces) % LEAF]:
+        for n in sizes if sizes is not None else _leaf_sizes(len(pieces)):
             self.leaves.append(pieces[a : a + n])
             self.counts.append(counts[a : a + n])
             a += n
@@ -222,6 +229,17 @@ _EDITED = [pa.field("n_tokens_before", pa.int64()), pa.field("n_pretokens_before
 _EDITED_DDL = ", n_tokens_before long, n_pretokens_before long, n_encoded_again long"
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]), pa.int32()))
+
+
+def _arrays(column: pa.ListArray) -> list[list[int]]:
+    """Lists of numbers, by way of their buffer."""
+    values, ends = np.asarray(column.values), column.offsets.to_pylist()
+    return [values[a:z].tolist() for a, z in zip(ends[:-1], ends[1:])]
+
+
 def _row(i: int | None, tree: TokenTree) -> tuple:
     flat = lambda parts: [x for p in parts for x in p]
     return i, tree.text(), tree.n_tokens, [len(p) for p in flat(tree.leaves)], flat(tree.counts), list(map(len, tree.leaves))
@@ -246,8 +264,15 @@ def token_trees(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
         tool = counter(path, pattern)
         for batch in batches:
             for a, z in slices(batch, 1):
-                rows = [_row(i, TokenTree.of(text or "", tool)) for i, text in zip(*(c.slice(a, z - a).to_pylist() for c in batch.columns[:2]))]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*rows), _TREE)), batch.column(2).slice(a, z - a).cast(_EDITS)], schema=out)
+                texts = batch.column(1).slice(a, z - a).fill_null("")
+                lengths, counts, leaves = [], [], []
+                for text in texts.to_pylist():
+                    pieces = tool.split.findall(text)
+                    lengths.append(np.fromiter(map(len, pieces), np.int32, len(pieces)))
+                    counts.append(np.fromiter(map(tool.count, pieces), np.int32, len(pieces)))
+                    leaves.append(np.array(_leaf_sizes(len(pieces)), np.int32))
+                total = pa.array([int(c.sum()) for c in counts], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), texts, total, *map(_lists, (lengths, counts, leaves)), batch.column(2).slice(a, z - a).cast(_EDITS)], schema=out)
         shared.give_back()
 
     edits = (F.col(edits_col) if edits_col else F.lit(None)).cast(_EDITS_DDL).alias("edits")
@@ -263,32 +288,39 @@ def edit_trees(trees: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     count characters from 0, and what lies outside the text is cut to it. Null edits are none, and a null in an edit is 0 or
     empty. Edits of one place take effect in their order. Texts without edits are passed on as they are. Other columns are ignored.
     """
+    return _edited(trees, path, pattern, id_col, edits_col, True)
+
+
+def _edited(trees: DataFrame, path: str, pattern: str, id_col: str, edits_col: str, whole: bool) -> DataFrame:
+    """edit_trees(), or without the edited trees themselves if whole is false."""
     shared.small_batches(trees.sparkSession)
-    out = pa.schema([*_TREE, *_EDITED])
+    kept = list(_TREE) if whole else [_TREE.field("id"), _TREE.field("n_tokens")]
+    out = pa.schema([*kept, *_EDITED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = counter(path, pattern)
         for batch in batches:
             for a, z in slices(batch, 1):
                 rows = []
-                for i, text, n, lengths, counts, leaves, edits in zip(*(c.slice(a, z - a).to_pylist() for c in batch.columns)):
+                part = batch.slice(a, z - a)
+                columns = [*(part.column(c).to_pylist() for c in (0, 1, 2)), *(_arrays(part.column(c)) for c in (3, 4, 5)), part.column(6).to_pylist()]
+                for i, text, n, lengths, counts, leaves, edits in zip(*columns):
                     if not any(edits or []):
-                        rows.append((i, text, n, lengths, counts, leaves, n, len(lengths), 0))
+                        rows.append((i, text, n, lengths, counts, leaves, n, len(lengths), 0) if whole else (i, n, n, len(lengths), 0))
                         continue
-                    at, pieces = 0, []
-                    for size in lengths:
-                        pieces.append(text[at : at + size])
-                        at += size
+                    ends = list(accumulate(lengths, initial=0))
+                    pieces = [text[x:y] for x, y in zip(ends, ends[1:])]
                     tree = TokenTree(pieces, counts, tool, leaves)
                     for e in edits:
                         if e:
                             tree.edit(e["start"] or 0, e["length"] or 0, e["replacement"] or "")
-                    rows.append((*_row(i, tree), n, len(lengths), tree.encoded))
+                    rows.append((*(_row(i, tree) if whole else (i, tree.n_tokens)), n, len(lengths), tree.encoded))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
         shared.give_back()
 
     edits = F.col(edits_col).cast(_EDITS_DDL).alias("edits")
-    return trees.select(F.col(id_col).cast("long").alias("id"), *_TREE.names[1:], edits).mapInArrow(run, _TREE_DDL + _EDITED_DDL).withColumnRenamed("id", id_col)
+    ddl = (_TREE_DDL if whole else "id long, n_tokens long") + _EDITED_DDL
+    return trees.select(F.col(id_col).cast("long").alias("id"), *_TREE.names[1:], edits).mapInArrow(run, ddl).withColumnRenamed("id", id_col)
 
 
 def counts_after_edits(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
@@ -297,7 +329,7 @@ def counts_after_edits(docs: DataFrame, path: str, pattern: str, id_col: str = "
     token_trees() written to the shared folder, then edit_trees() over what was written; see there.
     """
     trees, _ = shared.stash(token_trees(docs, path, pattern, id_col, text_col, edits_col).withColumnRenamed(id_col, "id"), "trees")
-    done = edit_trees(trees, path, pattern, "id", "edits")
+    done = _edited(trees, path, pattern, "id", "edits", False)
     return done.select(F.col("id").alias(id_col), F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), F.col("n_pretokens_before").alias("n_pretokens"), "n_encoded_again")
 
 
