@@ -34,9 +34,10 @@ def sarif_results(findings: DataFrame, path_col: str = "path") -> DataFrame:
     return findings.select("rule_id", path_col, "line_no", F.to_json(result).alias("result"))
 
 
-def sarif_rules(findings: DataFrame) -> DataFrame:
-    """Distinct rules with the level of the first finding in order."""
-    return findings.groupBy("rule_id").agg(F.min("description").alias("description"), sarif_level(F.first("severity")).alias("level"))
+def sarif_rules(findings: DataFrame, path_col: str = "path") -> DataFrame:
+    """Distinct rules with the description and level of the first finding by path, place and severity."""
+    first = F.min(F.struct(F.col(path_col), F.col("line_no"), F.col("severity"), F.col("description")))
+    return findings.groupBy("rule_id").agg(first.alias("first")).select("rule_id", F.col("first.description").alias("description"), sarif_level(F.col("first.severity")).alias("level"))
 
 
 def sarif_report(findings: DataFrame) -> DataFrame:
