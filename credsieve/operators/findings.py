@@ -44,28 +44,32 @@ def score_matches(matches: DataFrame, rules: DataFrame, path_col: str = "path",
     brought = lambda name, otherwise: F.coalesce(F.col(name), otherwise) if name in matches.columns else otherwise
     m = m.withColumn("kind", brought("routed_kind", infer_kind(F.col("rule_id"), secret, line))).withColumn("variable", brought("identifier", variable_name(line)))
     assigned = line.contains("=") | line.contains(":")
+    # Columns of their own, as the expressions below name them often.
+    held = {
+        "_assigned": assigned, "_typed": brought("typed", F.col("variable").isNotNull() & assigned), "_secret_identifier": brought("has_secret_identifier", F.coalesce(discovery.looks_secret(F.col("variable")), F.lit(False))),
+        "_secondary": brought("secondary_context", discovery.secondary_context(line)), "_multiline": brought("multiline", secret.contains("\n")),
+        "_auth": brought("has_auth_context", F.lower(line).rlike("authorization|bearer|x-api-key|cookie")), "_catchall": F.lower("rule_id").contains("catchall"),
+    }
+    m = m.withColumns(held).withColumn("markov", F.round(markov_score(secret), 6))
     e = {
-        "typed": brought("typed", F.col("variable").isNotNull() & assigned), "has_assignment": assigned, "has_secret_identifier": brought("has_secret_identifier", F.coalesce(discovery.looks_secret(F.col("variable")), F.lit(False))),
-        "secondary_context": brought("secondary_context", discovery.secondary_context(line)), "private_key_like": F.col("kind") == "PrivateKey", "multiline": brought("multiline", secret.contains("\n")),
-        "has_auth_context": brought("has_auth_context", F.lower(line).rlike("authorization|bearer|x-api-key|cookie")), "generic_catchall": F.lower("rule_id").contains("catchall"),
-        "kind": F.col("kind"), "value_entropy": F.col("entropy"), "pattern": brought("pattern", F.lit("Assignment")),
+        "typed": F.col("_typed"), "has_assignment": F.col("_assigned"), "has_secret_identifier": F.col("_secret_identifier"), "secondary_context": F.col("_secondary"), "private_key_like": F.col("kind") == "PrivateKey",
+        "multiline": F.col("_multiline"), "has_auth_context": F.col("_auth"), "generic_catchall": F.col("_catchall"), "kind": F.col("kind"), "value_entropy": F.col("entropy"), "pattern": brought("pattern", F.lit("Assignment")),
     }
-    m = m.withColumn("markov", F.round(markov_score(secret), 6)).withColumn("evidence_adj", scoring.evidence_adjustment(path, e))
     nothing = F.lit(0.0)
     streams = brought("tristream", weight)
-    m = m.withColumn("base", scoring.fuse(brought("candidate_entropy", nothing), brought("proximity", nothing), streams, F.col("markov"), weight))
+    base = scoring.fuse(brought("candidate_entropy", nothing), brought("proximity", nothing), streams, F.col("markov"), weight)
     identifiers = F.when(F.col("variable").isNotNull(), F.array("variable"))
-    m = m.withColumn("confidence", scoring.adjust(F.col("base"), path, identifiers, F.col("evidence_adj")))
     # The lesser of what the value and its context say; direct matches have no context.
     context = F.coalesce(F.col("snippet"), F.lit("")) if "snippet" in matches.columns else F.lit("")
-    m = m.withColumn("penalty", F.least(scoring.hard_negative_penalty(secret), scoring.hard_negative_penalty(context)))
+    m = m.withColumns({"_fused": scoring.adjust(base, path, identifiers, scoring.evidence_adjustment(path, e)), "penalty": F.least(scoring.hard_negative_penalty(secret), scoring.hard_negative_penalty(context))})
     strong = e["has_secret_identifier"] | e["secondary_context"].isNotNull() | e["multiline"] | e["has_auth_context"] | F.col("kind").isin("PrivateKey", "Jwt", "BearerAuth", "UrlCredentials")
-    m = m.withColumn("confidence", F.round(scoring.hard_negative_decision(F.col("confidence"), F.col("penalty"), e["typed"], strong, e["generic_catchall"], path), 6))
-    m = m.where(F.col("confidence") >= threshold)
+    m = m.withColumn("confidence", F.round(scoring.hard_negative_decision(F.col("_fused"), F.col("penalty"), e["typed"], strong, e["generic_catchall"], path), 6))
+    # Exploded and not filtered: a filter is pushed below the join, and all the expressions above go along, written out at each use.
+    m = m.select("*", F.explode(F.when(F.col("confidence") >= threshold, F.array(F.lit(True)))).alias("_kept"))
     m = m.withColumn("secret_hash", hmac_sha256(secret, key)).withColumn("secret_redacted", redact(secret)).withColumn("secret_length", F.length("secret"))
     m = m.withColumn("id", finding_id(F.col("rule_id"), F.col("secret_hash"), path, F.col("start"))).withColumn("rank", kind_rank(F.col("kind"), e["generic_catchall"]))
     m = m.withColumn("remediation", F.coalesce("remediation", remediation_of(F.col("rule_id")))).withColumn("provider", provider_of(F.col("rule_id")))
-    return m.withColumn("line_span", F.length("line") - F.length(F.replace("line", F.lit("\n"), F.lit("")))).drop("secret", "line", "base", "evidence_adj", "snippet", "value", "weight")
+    return m.withColumn("line_span", F.length("line") - F.length(F.replace("line", F.lit("\n"), F.lit("")))).drop("secret", "line", "snippet", "value", "weight", *held, "_fused", "_kept")
 
 
 def dedup_best(findings: DataFrame, path_col: str = "path") -> DataFrame:

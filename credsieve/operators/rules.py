@@ -8,8 +8,11 @@ import tomllib
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.scalar import SEVERITIES, any_of, severity_rank
 
@@ -128,7 +131,8 @@ def load_rules(spark: SparkSession, *texts: str, builtin: bool = True) -> DataFr
         for rule in parse_rules(text)[0]:
             by_id.pop(rule.id, None)
             by_id[rule.id] = rule
-    return spark.createDataFrame([(*asdict(r).values(), k) for k, r in enumerate(by_id.values())], _SCHEMA)
+    # From Arrow, so that the table is part of the plan and reading it takes no job.
+    return spark.createDataFrame(pa.Table.from_pylist([asdict(r) | {"ord": k} for k, r in enumerate(by_id.values())], to_arrow_schema(StructType.fromDDL(_SCHEMA))))
 
 
 def override(rules: DataFrame, later: DataFrame) -> DataFrame:
@@ -166,4 +170,4 @@ def rule_buckets(rules: DataFrame) -> DataFrame:
 
 def as_json(rules: DataFrame) -> str:
     """Rules for the matcher; the table is bounded by what people write."""
-    return json.dumps([r.asDict() for r in rules.orderBy("ord").collect()])
+    return json.dumps([r.asDict() for r in sorted(rules.collect(), key=lambda r: r["ord"])])
