@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import as_fragments
+from .ignored import IGNORE_FILE, in_repository, patterns, without_ignored
 
 MOST_BYTES, MOST_RATIO, OBJECT_BYTES = 50 << 20, 100, 10 << 20
 # Ends of files that are no text.
@@ -69,9 +70,15 @@ def is_binary(content, probe: int = 512):
     return F.hex(F.substring(content, 1, probe)).rlike("^(?:..)*?00")
 
 
-def directory(spark: SparkSession, path: str, ignore: list[str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Text files below a directory; .git and ignored globs are left out, binary files skipped."""
+def directory(spark: SparkSession, path: str, ignore: list[str] | None = None, most_bytes: int = MOST_BYTES, gitignore: bool | None = None) -> DataFrame:
+    """Text files below a directory; .git and ignored globs are left out, binary files skipped.
+
+    gitignore: whether the .gitignore files below the directory hold; None: if it is part of a repository.
+    """
     files = binary_files(spark, path, None, most_bytes).where(~F.col("path").rlike(r"/\.git/"))
+    if in_repository(spark, path) if gitignore is None else gitignore:
+        named = binary_files(spark, path, IGNORE_FILE, most_bytes).where(~F.col("path").rlike(r"/\.git/"))
+        files = without_ignored(files, patterns(named))
     for glob in ignore or []:
         files = files.where(~F.col("path").rlike(r"(^|/)" + fnmatch.translate(glob).replace(r"\Z", "$").replace(r"\z", "$")))
     files = files.where(~is_binary(F.col("content")))

@@ -289,6 +289,24 @@ def test_archives_directories_and_notebooks(spark, tmp_path):
             files.safe_path("/data", name)
 
 
+def test_ignore_files(spark, tmp_path):
+    from credsieve.sources import ignored
+
+    texts = {
+        ".gitignore": "# comment\n*.log\n!keep.log\n/build/\nlogs/**/x.txt\n*.[ch]\n\\#odd\ndocs/*.md\nspace  \n", "a.log": "", "keep.log": "", "sub/b.log": "", "sub/.gitignore": "!b.log\n*.txt\n", "sub/t.txt": "", "t.txt": "",
+        "build/.gitignore": "!*\n", "build/out.py": "", "sub/build/out.py": "", "logs/x.txt": "", "logs/a/b/x.txt": "", "m.c": "", "#odd": "", "docs/r.md": "", "docs/deep/r.md": "", "space": "", ".env": "", "sub/deep/c.log": "",
+    }
+    for name, body in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body or "x")
+    names = lambda **k: {r.path.split(f"{tmp_path}/")[1] for r in files.directory(spark, str(tmp_path), **k).collect()}
+    assert names() == set(texts) and not ignored.in_repository(spark, str(tmp_path))
+    (tmp_path / ".git").mkdir()
+    assert ignored.in_repository(spark, str(tmp_path / "sub"))
+    want = {".gitignore", "keep.log", "sub/b.log", "sub/.gitignore", "t.txt", "sub/build/out.py", "docs/deep/r.md", ".env"}
+    assert names() == want and names(gitignore=False) == set(texts)
+
+
 def test_exports(spark):
     secret = json.dumps({"kind": "Secret", "metadata": {"name": "s", "namespace": "prod"}, "data": {"pw": base64.b64encode(b"hunter2").decode()}, "stringData": {"t": "x"}})
     system = json.dumps({"kind": "Secret", "metadata": {"name": "s", "namespace": "kube-system"}, "data": {"pw": "eA=="}})
