@@ -152,6 +152,11 @@ def block_candidates(fragments: DataFrame, id_col: str, text_col: str, path_col:
     )
 
 
+def candidates(fragments: DataFrame, id_col: str, text_col: str, path_col: str) -> DataFrame:
+    """Candidates in lines, without a cap, and over several lines."""
+    return typed_candidates(fragments, id_col, text_col, path_col, cap=False).unionByName(block_candidates(fragments, id_col, text_col, path_col))
+
+
 def route(candidates: DataFrame, entropy_threshold: float = 3.5) -> DataFrame:
     """Adds entropy, path_score, route and bucket, and drops candidates of low signal."""
     found = candidates.withColumn("entropy", F.round(shannon_entropy(F.col("value").cast("binary")), 9)).withColumn("path_score", paths.path_score(F.col("path")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.decode import deep_decode, deep_decode_udf
 from ..functions.entropy import entropy_of
+from . import discovery
 from .rules import as_json, compiled, rule_buckets
 from .stages import literals
 
@@ -222,6 +223,12 @@ def merge_matches(direct: DataFrame, routed: DataFrame, id_col: str) -> DataFram
     return both.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
+def match_all(fragments: DataFrame, rules: DataFrame, id_col: str, text_col: str, path_col: str) -> DataFrame:
+    """Both passes: all rules over whole texts, and the rules of their buckets over the candidates found in the texts."""
+    direct = match_rules(fragments, rules, id_col, text_col)
+    return merge_matches(direct, match_routed(discovery.route(discovery.candidates(fragments, id_col, text_col, path_col)), rules, id_col), id_col)
+
+
 def keyword_prefilter(fragments: DataFrame, rules: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, rule_id) for every rule one of whose keywords the text contains in any case: one pass of the automaton over a text,
     however many rules there are; rules without keywords are not listed. Fragments are not shuffled."""

@@ -135,6 +135,12 @@ def load_rules(spark: SparkSession, *texts: str, builtin: bool = True) -> DataFr
     return spark.createDataFrame(pa.Table.from_pylist([asdict(r) | {"ord": k} for k, r in enumerate(by_id.values())], to_arrow_schema(StructType.fromDDL(_SCHEMA))))
 
 
+def rule_texts(path: str | Path) -> list[str]:
+    """The text of a rule file, or of all TOML files in a folder and those below it, by path."""
+    path = Path(path)
+    return [f.read_text(encoding="utf-8") for f in (sorted(path.rglob("*.toml")) if path.is_dir() else [path])]
+
+
 def override(rules: DataFrame, later: DataFrame) -> DataFrame:
     """rules with those of `later` in the place of the same ids."""
     return rules.join(later.select("id"), "id", "left_anti").unionByName(later)

@@ -278,12 +278,11 @@ def block_candidates(spark, d) -> DataFrame:
 
 
 def _candidates(f: DataFrame) -> DataFrame:
-    return discovery.typed_candidates(f, "doc_id", "text", "path", cap=False).unionByName(discovery.block_candidates(f, "doc_id", "text", "path"))
+    return discovery.candidates(f, "doc_id", "text", "path")
 
 
 def _both(f: DataFrame, r: DataFrame) -> DataFrame:
-    direct = match.match_rules(f, r, "doc_id", "text")
-    return match.merge_matches(direct, match.match_routed(discovery.route(_candidates(f)), r, "doc_id"), "doc_id")
+    return match.match_all(f, r, "doc_id", "text", "path")
 
 
 def planted(spark, d) -> DataFrame:

@@ -377,6 +377,25 @@ def test_command_line_and_sinks(spark, tmp_path, capsys, monkeypatch):
     out = capsys.readouterr().out
     assert "aws-access-key-id" in out and "QWERTYUIOPASDFGH" not in out
     assert main(["rules", "list", "--category", "cloud"]) == 0 and "aws-access-key-id" in capsys.readouterr().out
+    (tmp_path / "own" / "more").mkdir(parents=True)
+    (tmp_path / "own" / "more" / "own.toml").write_text('[[rules]]\nid = "own-badge"\ndescription = "d"\nregex = "BDG-[0-9a-f]{20}"\nkeywords = ["bdg-"]\nseverity = "critical"\n')
+    (tmp_path / "src" / "b.py").write_text("badge_key = 'BDG-0f3a9c71e5d2b8460a1c'\n")
+    again = lambda *more: (main(["detect", str(tmp_path / "src"), "--format", "csv", "--rules", str(tmp_path / "own"), *more]), capsys.readouterr().out.split("\n"))
+    code, lines = again("--correlate")
+    assert code == 1 and any(x.startswith("own-badge,") for x in lines)
+    kept = str(tmp_path / "baseline")
+    assert again("--baseline", kept)[0] == 1 and again("--baseline", kept) == (0, [lines[0], ""])
+    (tmp_path / "src" / "c.py").write_text("badge_key = 'BDG-1f3a9c71e5d2b8460a1c'\n")
+    code, lines = again("--baseline", kept)
+    assert code == 1 and len([x for x in lines if "c.py" in x]) >= 1 and not any("b.py" in x or "app.py" in x for x in lines)
+    assert main(["protect", "status", str(tmp_path)]) == 2
+    (tmp_path / "repo" / ".git").mkdir(parents=True)
+    where = str(tmp_path / "repo")
+    assert [main(["protect", x, where]) for x in ("status", "install", "status", "install", "uninstall", "status")] == [1, 0, 0, 0, 0, 1]
+    hook = tmp_path / "repo" / ".git" / "hooks" / "pre-commit"
+    hook.write_text("#!/bin/sh\n")
+    assert main(["protect", "install", where]) == 2 and main(["protect", "install", where, "--force"]) == 0 and "credsieve" in hook.read_text()
+    capsys.readouterr()
     (tmp_path / "bad.toml").write_text('[[rules]]\nid = "x"\nregex = "("\n')
     assert main(["rules", "validate", str(tmp_path / "bad.toml")]) == 2
     state = spark.createDataFrame([("a", "1")], "path string, content_hash string")
