@@ -72,11 +72,16 @@ def score_matches(matches: DataFrame, rules: DataFrame, path_col: str = "path",
     return m.withColumn("line_span", F.length("line") - F.length(F.replace("line", F.lit("\n"), F.lit("")))).drop("secret", "line", "snippet", "value", "weight", *held, "_fused", "_kept")
 
 
+def _by_id(findings: DataFrame) -> list[Column]:
+    """Last in an order, so that equal findings do not come as partitions happen to; nothing where there are no ids."""
+    return [F.col("id")] if "id" in findings.columns else []
+
+
 def dedup_best(findings: DataFrame, path_col: str = "path") -> DataFrame:
     """One finding for each secret and path: of the highest precedence, then confidence, then over the fewest lines, then the
-    first. line_span: lines beyond the first that the match touches; one line each if there is no such column."""
+    first, then the least id. line_span: lines beyond the first that the match touches; one line each if there is no such column."""
     span = F.col("line_span") if "line_span" in findings.columns else F.lit(0)
-    order = [F.col("rank").desc(), F.col("confidence").desc(), span, F.col("start"), F.col("rule_id")]
+    order = [F.col("rank").desc(), F.col("confidence").desc(), span, F.col("start"), F.col("rule_id"), *_by_id(findings)]
     return findings.withColumn("_n", F.row_number().over(Window.partitionBy("secret_hash", path_col).orderBy(*order))).where("_n = 1").drop("_n")
 
 

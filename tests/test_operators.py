@@ -219,6 +219,18 @@ def test_queries_of_all_rules_and_rows(spark, tiny, small):
     assert {tuple(r) for r in run("decode_chain_all")} == chains
 
 
+def equal_findings(spark, at_once: int):
+    """64 findings that differ by id alone, in two orders."""
+    cols = "id string, secret_hash string, path string, rank int, confidence double, start long, rule_id string, severity string"
+    rows = [(f"{i:02d}", "h", "p", 5, 0.7, 10, "r", "high") for i in range(64)]
+    return [spark.createDataFrame(x, cols).repartition(at_once) if at_once > 1 else spark.createDataFrame(x, cols).coalesce(1) for x in (rows, rows[::-1])]
+
+
+@pytest.mark.parametrize("at_once", [1, 3])
+def test_best_of_equal_findings_is_always_the_same(spark, at_once):
+    assert [[r.id for r in ops.dedup_best(f).collect()] for f in equal_findings(spark, at_once)] == [["00"], ["00"]]
+
+
 def test_all_findings_are_sorted(spark, tiny):
     from credsieve.plans import catalogue
 
