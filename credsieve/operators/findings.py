@@ -91,7 +91,8 @@ def dedup_first(findings: DataFrame, path_col: str = "path") -> DataFrame:
 
 
 def in_order(findings: DataFrame, path_col: str = "path") -> DataFrame:
-    return findings.orderBy(severity_rank(F.col("severity")).desc(), F.col("confidence").desc(), path_col, "start", "rule_id")
+    """The most severe first, then the surest, then by path, place, rule and id."""
+    return findings.orderBy(severity_rank(F.col("severity")).desc(), F.col("confidence").desc(), path_col, "start", "rule_id", *_by_id(findings))
 
 
 def least_severity(findings: DataFrame, severity: str) -> DataFrame:

@@ -231,6 +231,13 @@ def test_best_of_equal_findings_is_always_the_same(spark, at_once):
     assert [[r.id for r in ops.dedup_best(f).collect()] for f in equal_findings(spark, at_once)] == [["00"], ["00"]]
 
 
+@pytest.mark.parametrize("at_once", [1, 3])
+def test_equal_findings_are_always_in_the_same_order(spark, at_once):
+    for f in equal_findings(spark, at_once):
+        assert [r.id for r in ops.in_order(f).collect()] == [f"{i:02d}" for i in range(64)]
+        assert [r.id for r in ops.in_order(f).limit(5).collect()] == ["00", "01", "02", "03", "04"]
+
+
 def test_all_findings_are_sorted(spark, tiny):
     from credsieve.plans import catalogue
 
