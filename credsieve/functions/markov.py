@@ -20,12 +20,21 @@ def trigrams(kept: Column) -> Column:
     return F.concat(every_third(kept), every_third(F.substring(kept, 2, 2**31 - 1)), every_third(F.substring(kept, 3, 2**31 - 1)))
 
 
-def markov_score(text: Column) -> Column:
-    """0 (natural) to 1 (random); 0 for fewer than three letters, digits, _ or -; other characters are passed over."""
+def trigram_sum(text: Column) -> Column:
+    """(total, n): the scores of all trigrams of letters, digits, _ and -, added up, and their number; other characters are passed over."""
     kept = F.regexp_replace(text, "[^A-Za-z0-9_-]", "")
 
-    def score(grams: Column) -> Column:
-        total = F.aggregate(grams, F.lit(0.0).cast("double"), lambda s, t: s + trigram_score(t).cast("double"))
-        return F.when(F.size(grams) == 0, 0.0).otherwise(F.least(F.greatest((F.lit(COMMON) - total / F.size(grams)) / (COMMON - RARE), F.lit(0.0)), F.lit(1.0)))
+    def added(grams: Column) -> Column:
+        return F.struct(F.aggregate(grams, F.lit(0.0).cast("double"), lambda s, t: s + trigram_score(t).cast("double")).alias("total"), F.size(grams).alias("n"))
+
+    return F.element_at(F.transform(F.array(trigrams(kept)), added), 1)
+
 
-    return F.element_at(F.transform(F.array(trigrams(kept)), score), 1)
+def mean_score(total: Column, n: Column) -> Column:
+    """0 (natural) to 1 (random), by the mean of n trigrams; 0 if there are none."""
+    return F.when(n == 0, 0.0).otherwise(F.least(F.greatest((F.lit(COMMON) - total / n) / (COMMON - RARE), F.lit(0.0)), F.lit(1.0)))
+
+
+def markov_score(text: Column) -> Column:
+    """0 (natural) to 1 (random); 0 for fewer than three letters, digits, _ or -; other characters are passed over."""
+    return F.element_at(F.transform(F.array(trigram_sum(text)), lambda x: mean_score(x["total"], x["n"])), 1)

@@ -61,7 +61,7 @@ def meeting(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["decode_hex_step"])
+@pytest.mark.parametrize("name", ["decode_hex_step", "markov_heuristic"])
 def test_numbers_that_meet(spark, meeting, name):
     assert oracle.compare(catalogue.QUERIES[name](spark, meeting), oracle.connect(meeting), catalogue.ORACLE_SQL[name]) is None
 
