@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,13 +62,15 @@ select md5(event_id::varchar) as id, 'rule-' || event_type as rule_id, md5('s' |
 from events"""
 
 
-def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(n, s): names, digests and placeholders."""
+def strings(spark: SparkSession, sf_dir: str, leg: str | None = None) -> DataFrame:
+    """(n, s): names, digests and placeholders; with leg, a column of that name with the place in the union, from 0. Numbers of parts
+    and of customers meet from a million parts on."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), F.col("p_name").alias("s"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k = F.col("c_custkey")
     made = F.when(k % 6 == 0, F.concat(F.lit("your_key_"), k.cast("string"))).when(k % 6 == 1, F.repeat(F.lit("z"), 20)).when(k % 6 == 2, F.lpad((k * 7654321).cast("string"), 12, "7")).when(k % 6 == 3, F.lit("changeme!")).when(k % 6 == 4, F.lit("correcthorse")).otherwise(F.md5("c_name"))
-    return p.unionByName(c.select((k + 1_000_000).alias("n"), made.alias("s"))).unionByName(c.select((k + 2_000_000).alias("n"), F.concat(F.upper(F.substring(F.md5("c_name"), 1, 10)), F.lit("-_"), F.col("c_name")).alias("s")))
+    legs = [p, c.select((k + 1_000_000).alias("n"), made.alias("s")), c.select((k + 2_000_000).alias("n"), F.concat(F.upper(F.substring(F.md5("c_name"), 1, 10)), F.lit("-_"), F.col("c_name")).alias("s"))]
+    return reduce(DataFrame.unionByName, [x.withColumn(leg, F.lit(i)) for i, x in enumerate(legs)] if leg else legs)
 
 
 STRINGS = """

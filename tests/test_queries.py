@@ -66,6 +66,21 @@ def test_numbers_that_meet(spark, meeting, name):
     assert oracle.compare(catalogue.QUERIES[name](spark, meeting), oracle.connect(meeting), catalogue.ORACLE_SQL[name]) is None
 
 
+def test_tokens_of_numbers_that_meet(spark, meeting):
+    """The SQL leaves open which of two strings is first at a place; here it is the part's, in every run."""
+    rows = catalogue.QUERIES["tokenize_chars"](spark, meeting).collect()
+    want = oracle.connect(meeting).sql(catalogue.ORACLE_SQL["tokenize_chars"]).fetchall()
+
+    def by_place(ids):
+        at = list(map(int, ids.split()))
+        return [sorted(at[i : i + len(at) // 24]) for i in range(0, len(at), len(at) // 24)]
+
+    assert len(rows) == len(want) == 25 and {r.n: by_place(r.ids) for r in rows} == {n: by_place(ids) for n, ids in want}
+    got = {r.n: list(map(int, r.ids.split())) for r in rows}
+    assert got[1_000_004][0::2] == [0] * 24 and got[1_000_004][1::2][:12] == [ord(c) - 97 for c in "correcthorse"]
+    assert got[1_000_000][:4] == [ord("l") - 97, ord("y") - 97, 0, ord("o") - 97] and len(got[7]) == 24
+
+
 def test_tokens_of_few_different_digits_are_found(spark, tmp_path):
     """Paths whose MD5 has less than three bits a digit."""
     digits = lambda i: hashlib.md5(f"web/doc_{i}.txt".encode()).digest().hex()
